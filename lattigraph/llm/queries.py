@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, ordering, packing, quality, sharding
+from . import chat, decontamination, licenses, near_dedup, ordering, packing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_packing": packing.op2_packing,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_training_order": ordering.op6_training_order,
         "op7_sharding": sharding.op7_sharding,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
     }
 
 
