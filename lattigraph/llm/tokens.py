@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 import functools
+import json
+import re
+import struct
 
 import numpy as np
+import regex
+
+#: Fixed value: the split pattern of the word vocabulary.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_MARKS = ".,;:!?#$%&*|"
+_LATIN = regex.compile(WORD_PATTERN)
 
 
 def vocabulary_path(name: str) -> str:
@@ -16,36 +26,81 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary has for each byte that does not stand for itself."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer whose pieces never reach over white space.
 
     Texts are cut at spaces and line feeds, which such a tokenizer drops; the ids of every chunk are kept in
-    a bounded cache, so that a repeated word costs one look-up. Each text is encoded whole.
+    a bounded cache, so that a repeated word costs one look-up. With the word vocabulary's split pattern, a new chunk
+    of plain Latin text is cut into pieces whose ids are kept as well; anything else goes through the
+    whole tokenizer. Each text is encoded whole.
     """
 
     def __init__(self, name: str, dtype: str = "<u2", most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        self.dtype, self.most, self.cache = dtype, most, {}
+        path = vocabulary_path(name)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.dtype, self.most, self.cache, self.pieces = dtype, most, {}, {}
         if self.tokenizer.get_vocab_size() > np.iinfo(dtype).max + 1:
             raise ValueError(f"{name} has more ids than {dtype} holds")
+        with open(path) as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_piece = steps[0].get("pattern") == {"Regex": WORD_PATTERN}
+        self.special = tuple(t["content"] for t in spec.get("added_tokens", ()))
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+
+    def _piece(self, piece: str) -> bytes:
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        out = self.pieces[piece] = self.pack(*[t.id for t in self.model.tokenize(word)])
+        return out
+
+    def pack(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.by_piece:  # letters, and perhaps marks behind them: most chunks
+            low = chunk.lower()
+            word = low.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or max(word) <= "\u024f"):
+                ids = self.pieces.get(word) or self._piece(word)
+                if len(word) == len(low):
+                    return ids
+                marks = low[len(word) :]
+                return ids + (self.pieces.get(marks) or self._piece(marks))
+        if self.by_piece and chunk.isprintable() and not any(s in chunk for s in self.special):
+            if chunk.isascii():
+                found = _ASCII.findall(chunk.lower())
+            elif max(chunk) <= "\u024f":
+                found = _LATIN.findall(self.tokenizer.normalizer.normalize_str(chunk))
+            else:
+                found = None
+            if found is not None:
+                get = self.pieces.get
+                return b"".join([get(p) or self._piece(p) for p in found])
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: empty) as little-endian bytes, without special tokens."""
-        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         out = []
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        for start in range(0, len(chunks), 64):
-            part = chunks[start : start + 64]
-            missing = list(set().union(*part).difference(self.cache))
-            if missing:
-                for chunk, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                    self.cache[chunk] = np.array(found.ids, self.dtype).tobytes()
-            out += [b"".join(map(self.cache.__getitem__, c)) for c in part]
-            if len(self.cache) > self.most:
-                self.cache.clear()
+        for text in texts:
+            chunks = text.replace("\n", " ").split(" ") if text else []
+            try:
+                out.append(b"".join(map(self.cache.__getitem__, chunks)))
+            except KeyError:
+                for store in (self.cache, self.pieces):
+                    if len(store) > self.most:
+                        store.clear()
+                for chunk in set(chunks).difference(self.cache):
+                    self.cache[chunk] = self._chunk(chunk)
+                out.append(b"".join(map(self.cache.__getitem__, chunks)))
         return out
 
 
