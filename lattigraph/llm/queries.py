@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, near_dedup, ordering, packing, quality, sharding
+from . import chat, decontamination, fingerprints, html_cut, licenses, near_dedup, ordering, packing, quality, sharding
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_training_order": ordering.op6_training_order,
         "op7_sharding": sharding.op7_sharding,
         "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op10_html_extraction": html_cut.op10_html_extraction,
     }
 
 
