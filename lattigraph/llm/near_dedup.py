@@ -7,12 +7,14 @@ with fewer words the whole sequence; nothing without words. Documents are linked
 1. Each text gives 128 MinHash samples. 25 bands of 5 samples propose pairs (a pair at 0.85 is missed with
    probability (1 - 0.85^5)^25 = 4e-7). The samples are also folded into an odd sketch of 512 parity bits: the
    population count of two sketches' XOR estimates their similarity closely where it is high, and pairs
-   whose count lies beyond five standard deviations of what 0.85 gives are not looked at further.
+   whose count lies beyond five standard deviations of what 0.85 gives are not looked at further. A second odd
+   sketch holds the whole set: sets differ in at least as many elements as these sketches differ in bits, so
+   this bound never refuses a link.
 2. Documents with equal sets are one node. In each bucket every node is paired with the bucket's smallest and
    largest node only; pairs are confirmed on the full sets of their texts.
-3. In buckets whose nodes still lie in several components, all pairs across components that pass the sketch
-   bound are confirmed as well, each in the first band it shares. Pairs inside a component cannot change the
-   result, so nothing is lost and no group is expanded into all its pairs.
+3. Nodes in buckets that still hold several components are compared across components: prefix filtering on
+   their full sets proposes every pair that can reach 0.85, and these are confirmed as well. Pairs inside a component
+   cannot change the result, so nothing is lost and no group is expanded into all its pairs.
 4. Components come from alternating star steps; every intermediate is a written table.
 
 Sets are compared by 64-bit hashes of shingles.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -84,7 +86,13 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """The parity bitmap of the numbered samples, as 64-bit words."""
-    places = (mix64(samples ^ _NUMBERS) % np.uint64(BITS)).astype(np.int64)
+    return parity(samples ^ _NUMBERS)
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set of hashes, as 64-bit words. Two sets differ in at least as many elements as their
+    bitmaps differ in bits."""
+    places = (mix64(values) % np.uint64(BITS)).astype(np.int64)
     return np.packbits((np.bincount(places, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -96,6 +104,7 @@ def sketch_limit(percent: int = PERCENT, sigmas: float = 5.0) -> int:
 
 
 _LOWS = [f"s{i}" for i in range(BITS // 64)]
+_WHOLE = [f"p{i}" for i in range(BITS // 64)]
 _BANDS = [f"b{i}" for i in range(BANDS)]
 
 
@@ -104,32 +113,43 @@ def _key(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, b0.., s0..): key names the set and is null for an empty one."""
+    """(doc_id, n_shingles, key, b0.., s0.., p0..): key names the set and is null for an empty one; bands, the odd sketch of the
+    samples and that of the whole set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.int64()
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                n, keys, rest = [], [], np.zeros((batch.num_rows, BANDS + len(_LOWS)), np.int64)
+                n, keys, rest = [], [], np.zeros((batch.num_rows, BANDS + 2 * len(_LOWS)), np.int64)
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     h = shingle_set(text)
                     n.append(len(h))
                     keys.append(_key(h) if len(h) else None)
                     if len(h):
                         samples = minhash(h)
-                        rest[i, :BANDS], rest[i, BANDS:] = band_keys(samples), odd_sketch(samples)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, kinds), pa.array(keys, kinds), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["doc_id", "n_shingles", "key", *_BANDS, *_LOWS])
+                        rest[i] = np.concatenate([band_keys(samples), odd_sketch(samples), parity(h)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, kinds), pa.array(keys, kinds), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["doc_id", "n_shingles", "key", *_BANDS, *_LOWS, *_WHOLE])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, ", ".join(f"{c} long" for c in ["doc_id", "n_shingles", "key", *_BANDS, *_LOWS]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, ", ".join(f"{c} long" for c in ["doc_id", "n_shingles", "key", *_BANDS, *_LOWS, *_WHOLE]))
 
 
 def _close(a: str, b: str, limit: int):
-    """The sketch bound on two rows' sketches."""
+    """The bound on two rows' sketches of samples."""
+    return _differing(a, b, _LOWS) <= limit
+
+
+def _differing(a: str, b: str, words: list[str]):
     total = F.lit(0)
-    for s in _LOWS:
+    for s in words:
         total = total + F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")))
-    return total <= limit
+    return total
+
+
+def _may_link(a: str, b: str, percent: int):
+    """What sizes and whole-set sketches allow; it never refuses a link."""
+    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+    return sizes & ((100 + percent) * _differing(a, b, _WHOLE) <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -169,18 +189,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
+def _across(left: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, str, list[str]]:
+    """Pairs across components among the nodes ``left`` (key, comp, inner, n, p0..), by prefix filtering: a set has
+    ceil(percent * n) / 100 elements or more in common with any partner, so partners share one of its first
+    n - that + 1 elements in an order from rare to frequent; elements of one set alone come first and count for nothing. ``inner`` nodes belong to the largest component of all
+    their buckets, and two of them in different components share no bucket."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                sets = [shingle_set(t) for t in batch.column(4).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(4)), pa.array(np.concatenate(sets).view(np.int64))], ["key", "comp", "inner", "n", "element"])
+
+    elements, path = staged(left.join(texts, "key").select("key", "comp", "inner", "n", "text").mapInArrow(explode, "key long, comp long, inner boolean, n long, element long"), "elements")
+    often = elements.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    by_rarity = Window.partitionBy("key").orderBy("df", "element")
+    need = F.floor((percent * F.col("n") + 99) / 100)
+    ranked = elements.join(often, "element").select("key", "comp", "inner", "n", "element", F.row_number().over(by_rarity).alias("rank"), F.count("*").over(Window.partitionBy("key")).alias("common"))
+    prefix, prefix_path = staged(ranked.where(F.col("rank") <= F.col("common") - need + 1).join(left.select("key", *_WHOLE), "key"), "prefixes")
+    x, y = prefix.where("not inner").alias("x"), prefix.alias("y")
+    fits = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.inner") | (F.col("x.key") < F.col("y.key"))) & _may_link("x", "y", percent)
+    # at the first element that two sets share, all they have in common is that one and what comes behind it in both
+    bound = 1 + F.least(F.col("x.common") - F.col("x.rank"), F.col("y.common") - F.col("y.rank"))
+    fits &= (100 + percent) * bound >= percent * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.element") == F.col("y.element")) & fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    more, more_path = staged(met.join(known, ["a", "b"], "left_anti"), "pairs")
+    return more, more_path, [path, prefix_path]
+
+
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module."""
     spark, limit = docs.sparkSession, sketch_limit(percent)
     rows, _ = staged(signatures(docs), "signatures")
-    nodes, nodes_path = staged(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in [*_BANDS, *_LOWS])), "nodes")
+    nodes, nodes_path = staged(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in [*_BANDS, *_LOWS, *_WHOLE])), "nodes")
     members = nodes.select("key", F.explode(F.array(*_BANDS)).alias("bucket"))
     buckets, buckets_path = staged(members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "buckets")
     shared, shared_path = staged(members.join(buckets, "bucket"), "members")
 
-    sketch = nodes.select("key", "n", *_LOWS)
+    sketch = nodes.select("key", "n", *_LOWS, *_WHOLE)
     star = shared.select(F.col("lo").alias("a"), F.col("key").alias("b")).unionByName(shared.select(F.col("key").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    likely = star.join(sketch.alias("x"), F.col("a") == F.col("x.key")).join(sketch.alias("y"), (F.col("b") == F.col("y.key")) & _close("x", "y", limit) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    likely = star.join(sketch.alias("x"), F.col("a") == F.col("x.key")).join(sketch.alias("y"), (F.col("b") == F.col("y.key")) & _close("x", "y", limit) & _may_link("x", "y", percent))
     pairs, pairs_path = staged(likely.select("a", "b"), "pairs")
     ids = nodes.select("key", "doc_id").join(shared.select("key").distinct(), "key", "left_semi")
     texts, texts_path = staged(_texts(docs, ids), "texts")
@@ -189,15 +239,14 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # nodes of one bucket in several components: all that is left to compare
     placed = shared.select("bucket", "key").join(comps, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-    left, left_path = staged(placed.join(open_buckets, "bucket").join(nodes.select("key", "n", *_LOWS, F.array(*_BANDS).alias("bands")), "key"), "open")
-    first = ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.array_position("x.bands", F.col("x.bucket")).cast("int") - 1), F.slice("y.bands", F.lit(1), F.array_position("x.bands", F.col("x.bucket")).cast("int") - 1))
-    across = left.alias("x").join(left.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & _close("x", "y", limit) & first)
-    more, more_path = staged(across.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("largest")).where("comps > 1")
+    left = placed.join(largest, "bucket").groupBy("key").agg(F.min("comp").alias("comp"), F.min(F.col("comp") == F.col("largest")).alias("inner"))
+    more, more_path, left_paths = _across(left.join(nodes.select("key", "n", *_WHOLE), "key"), texts, pairs, percent)
     late, late_path = staged(_confirmed(more, texts, percent), "links")
     if late.head(1):
         comps = components(edges.unionByName(late))
-    drop(spark, buckets_path, shared_path, pairs_path, texts_path, left_path, more_path)
+    drop(spark, buckets_path, shared_path, pairs_path, texts_path, more_path, *left_paths)
 
     named = nodes.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
