@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,8 +14,46 @@ from ..plans.loop import Settled, settle
 from . import graph
 
 
-def components(a: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each connected component, by alternating large-star and small-star steps."""
+#: Graphs up to so many arcs are handled inside one task where an algorithm is sequential or takes many rounds.
+SEQUENTIAL = 500_000
+
+
+def _small(a: DataFrame, engine: str) -> bool:
+    return engine == "sequential" or engine == "auto" and a.limit(SEQUENTIAL + 1).count() <= SEQUENTIAL
+
+
+def _in_one_task(a: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` on all arcs (src, dst, w) of a graph of a checked size."""
+    return a.select("src", "dst", "w").groupBy(F.lit(0).alias("g")).applyInPandas(lambda rows: run(rows), schema)
+
+
+def _least_reachable(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest node each is connected to."""
+    ids = np.unique(np.concatenate([src, dst]))
+    s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[s], label[d])
+        np.minimum.at(new, s, low)
+        np.minimum.at(new, d, low)
+        np.minimum.at(new, label, new[np.arange(len(ids))])
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def components(a: DataFrame, engine: str = "auto") -> DataFrame:
+    """(node, comp): the smallest node of each connected component; beyond ``SEQUENTIAL`` arcs by alternating large-star
+    and small-star steps."""
+    if _small(a, engine):
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            node, comp = _least_reachable(rows["src"].to_numpy(), rows["dst"].to_numpy())
+            return pd.DataFrame({"node": node, "comp": comp})
+
+        return _in_one_task(a, run, "node long, comp long")
     now = Settled(a.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     before = None
     while True:
@@ -125,19 +165,15 @@ def _sequential_moves(src, dst, w, seed: int, epsilon: float) -> tuple[np.ndarra
     return ids, comm
 
 
-#: Graphs up to so many arcs are moved in order inside one task; larger ones in synchronous rounds.
-SEQUENTIAL = 500_000
-
-
 def local_moves(a: DataFrame, seed: int = 1, epsilon: float = 1e-6, rounds: int = 30, engine: str = "auto") -> DataFrame:
-    """(node, comm) after one level of Louvain."""
-    if engine == "sequential" or engine == "auto" and a.limit(SEQUENTIAL + 1).count() <= SEQUENTIAL:
+    """(node, comm) after one level of Louvain: nodes move one by one in a small graph, in synchronous rounds in a large one."""
+    if _small(a, engine):
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             ids, comm = _sequential_moves(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy(float), seed, epsilon)
             return pd.DataFrame({"node": ids, "comm": ids[comm]})
 
-        return settle(a.groupBy(F.lit(0).alias("g")).applyInPandas(lambda rows: run(rows), "node long, comm long"))
+        return settle(_in_one_task(a, run, "node long, comm long"))
     now = Settled(singletons(graph.nodes(a)))
     quality = modularity(a, now.df).first()[0]
     deg = settle(graph.weighted_degree(a))
@@ -197,8 +233,62 @@ def merge_round(a: DataFrame, sizes: DataFrame, k: int, seed: int, hard_cap: boo
     return ranked.join(low.select(F.col("x").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("x").alias("b"), F.col("low").alias("lb")), "b").where("p = la and p = lb").select("a", "b")
 
 
-def size_bounded_level(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, rounds: int = 200) -> DataFrame:
-    """(node, comm): one level of Louvain+; communities count nodes of this level."""
+def _merge_in_order(src, dst, w, k: int, seed: int, hard_cap: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Size-bounded merging with a queue: a community below k joins the neighbour of the largest gain it fits with, else
+    the smallest one (not with ``hard_cap``), and comes back to the queue while it is below k."""
+    ids = np.unique(np.concatenate([src, dst]))
+    n = len(ids)
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for s, d, x in zip(np.searchsorted(ids, src).tolist(), np.searchsorted(ids, dst).tolist(), w.tolist()):
+        near[s][d] = near[s].get(d, 0.0) + x
+    deg = [sum(x.values()) for x in near]
+    m2 = sum(deg)
+    size, owner = [1] * n, list(range(n))
+    queue = deque(np.random.default_rng(seed).permutation(n).tolist())
+    while queue:
+        v = queue.popleft()
+        if owner[v] != v or size[v] >= k:
+            continue
+        options = [u for u in near[v] if u != v]
+        fit = [u for u in options if size[u] + size[v] <= k]
+        if fit:
+            t = max(fit, key=lambda u: (near[v][u] - deg[u] * deg[v] / m2, -u))
+        elif options and not hard_cap:
+            t = min(options, key=lambda u: (size[u], u))
+        else:
+            continue
+        a, b = (t, v) if len(near[t]) >= len(near[v]) else (v, t)
+        for u, x in near[b].items():
+            to = a if u in (a, b) else u
+            near[a][to] = near[a].get(to, 0.0) + x
+            if u not in (a, b):
+                near[u][a] = near[u].get(a, 0.0) + near[u].pop(b)
+        if b in near[a]:
+            near[a][a] = near[a].get(a, 0.0) + near[a].pop(b)
+        near[b] = {}
+        owner[b], size[a], deg[a] = a, size[a] + size[b], deg[a] + deg[b]
+        if size[a] < k:
+            queue.append(a)
+
+    def root(v: int) -> int:
+        while owner[v] != v:
+            owner[v] = owner[owner[v]]
+            v = owner[v]
+        return v
+
+    return ids, np.array([root(v) for v in range(n)])
+
+
+def size_bounded_level(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, rounds: int = 200, engine: str = "auto") -> DataFrame:
+    """(node, comm): one level of Louvain+; communities count nodes of this level. A small graph is merged in order, a
+    large one in rounds of matchings."""
+    if _small(a, engine):
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            ids, comm = _merge_in_order(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy(float), k, seed, hard_cap)
+            return pd.DataFrame({"node": ids, "comm": np.unique(comm, return_inverse=True)[1]})
+
+        return _in_one_task(a, run, "node long, comm long")
     member = Settled(singletons(graph.nodes(a)))
     level = Settled(a)
     for i in range(rounds):
@@ -217,10 +307,10 @@ def size_bounded_level(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool
     return _relabel(member.df)
 
 
-def louvain_plus(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, include_small_components: bool = False, levels: int = 20) -> tuple[DataFrame, DataFrame]:
+def louvain_plus(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, include_small_components: bool = False, levels: int = 20, engine: str = "auto") -> tuple[DataFrame, DataFrame]:
     """The hierarchy of every chosen component (the largest, or all): membership (component, level, id, leaf) and
     hierarchy (component, level, id, child_id) from level 2. Levels are built until at most k supernodes are left; then one root joins them."""
-    comps = settle(components(a))
+    comps = settle(components(a, engine))
     order = comps.groupBy("comp").agg(F.count("*").alias("c"))
     chosen = order if include_small_components else order.orderBy(F.desc("c"), "comp").limit(1)
     names = settle(graph.dense_ids(chosen.select(F.col("comp").alias("node"))).select(F.col("node").alias("comp"), F.col("new").alias("component")))
@@ -231,7 +321,7 @@ def louvain_plus(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = Fals
     memberships, hierarchies = [], []
     for level in range(1, levels + 1):
         alone = comp_of.join(level_arcs.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        grouped = size_bounded_level(level_arcs, k, seed + 1000 * level, hard_cap) if level_arcs.head(1) else None
+        grouped = size_bounded_level(level_arcs, k, seed + 1000 * level, hard_cap, engine=engine) if level_arcs.head(1) else None
         if grouped is None:
             comm = _relabel(singletons(comp_of.select("node")))
         elif alone.head(1):

@@ -20,7 +20,8 @@ def arcs(spark):
     return settle(graph.symmetric(edges_df(spark, blocks() + [(100, 101), (101, 102)])))
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("engine", ["sequential", "rounds"])
+def test_components_against_union_find(spark, engine):
     r = np.random.default_rng(3)
     edges = r.integers(0, 300, (180, 2)).tolist() + [(i, i + 1) for i in range(400, 440)]
     parent = {}
@@ -35,7 +36,7 @@ def test_components_against_union_find(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     a = graph.symmetric(edges_df(spark, edges))
-    got = dict(cluster.components(a).collect())
+    got = dict(cluster.components(a, engine).collect())
     assert got == {n: find(n) for n in got} and len(got) == len({x for e in edges for x in e if e[0] != e[1]})
 
 
@@ -68,10 +69,10 @@ def test_louvain_finds_the_blocks(arcs, engine):
     assert len(set(label.values())) <= 8 and len(label) == 43
 
 
-@pytest.mark.parametrize("hard", [False, True])
-def test_louvain_plus_contract(spark, hard):
+@pytest.mark.parametrize("hard,engine", [(False, "sequential"), (True, "sequential"), (True, "rounds")])
+def test_louvain_plus_contract(spark, hard, engine):
     a = settle(graph.symmetric(edges_df(spark, random_edges(80, 60))))
-    membership, hierarchy = cluster.louvain_plus(a, k=10, hard_cap=hard)
+    membership, hierarchy = cluster.louvain_plus(a, k=10, hard_cap=hard, engine=engine)
     nodes = {r.node for r in graph.nodes(a).collect()}
     for level in {r.level for r in membership.select("level").distinct().collect()}:
         leaves = [r.leaf for r in membership.where(F.col("level") == level).collect()]
