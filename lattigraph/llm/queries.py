@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, fingerprints, html_cut, licenses, near_dedup, ordering, packing, quality, sharding
+from . import chat, decontamination, fingerprints, html_cut, licenses, near_dedup, oracle, ordering, packing, quality, sharding
 
 
 def queries() -> dict:
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against brute force in tests/llm."""
-    return {}
+    return oracle.oracle_sql()
