@@ -198,7 +198,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int, **how) -> Iterator[LeakIndex
     parts = max(1, -(-size // block_bytes))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        yield LeakIndex(sorted((r.item_id, r.text) for r in rows), **how)
+        yield LeakIndex(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), **how)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, **how) -> DataFrame:
