@@ -11,9 +11,9 @@ and each bin keeps one sample, so that a term is sampled once instead of once fo
 Jaccard similarity as it is and keeps one term from filling a bin alone. The likeness of two fingerprints is the number of bins with the same sample over the bins that either fills.
 
 All steps on a text are array functions inside its row: no row is expanded and nothing is grouped. For the
-edited texts, rows are numbered by (doc_id, row) from their ids alone; then texts are shuffled once by their row
-number, together with their fingerprint, and each lends its fingerprint and the characters asked for to the
-document before it.
+edited texts, rows are numbered in the order of id and text hash, from these small columns alone; then texts are
+shuffled once by them, together with their fingerprint, and each lends its fingerprint and the characters asked
+for to the document before it. Rows with the same id are in the order of their texts' hashes.
 
 Defined results: a null text is empty; a text without words has an empty fingerprint, which is like another
 empty one (1) and unlike any other (0); repeated rows and ids are documents of their own, and the next one may
@@ -32,20 +32,19 @@ BINS = 128
 UNIT = 4
 
 
-def terms(text: Column) -> Column:
-    """The sorted hashes of the text's terms, repeated as often as they come."""
+def _words(text: Column) -> Column:
+    """The hashes of the text's words; none for a text of white space alone."""
+    blank = lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")) == ""
     words = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w))
-    return F.when(F.trim(F.regexp_replace(F.substring(text, 1, 64), r"\s+", " ")) == "", _or_empty(text, words)).otherwise(_pairs(words))
+    # the whole text is only looked through for words if its beginning is blank
+    return F.when(blank(F.substring(text, 1, 64)) & blank(text), F.array().cast("array<bigint>")).otherwise(words)
 
 
-def _pairs(words: Column) -> Column:
+def _terms(words: str) -> Column:
+    """The sorted hashes of the terms, repeated as often as they come."""
     return F.sort_array(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
 
 
-def _or_empty(text: Column, words: Column) -> Column:
-    return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", F.array().cast("array<bigint>")).otherwise(_pairs(words))
-
-
 def _uniform(h: Column, high: bool) -> Column:
     part = F.shiftrightunsigned(h, 32) if high else h.bitwiseAND(F.lit(0xFFFFFFFF))
     return (part + F.lit(0.5)) / F.lit(float(1 << 32))
@@ -73,8 +72,9 @@ def _sample(x: Column, t: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the samples of column ``text`` as an array of bin * 2^16 + code, in the order of bins."""
-    kept = [c for c in df.columns if c not in (out, "_t", "_i", "_c", "_s")]
-    df = df.select(*kept, terms(F.col(text)).alias("_t"))
+    kept = [c for c in df.columns if c not in (out, "_w", "_t", "_i", "_c", "_s")]
+    df = df.select(*kept, _words(F.col(text)).alias("_w"))
+    df = df.select(*kept, _terms("_w").alias("_t"))
     begins = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.col("_t")[i] != F.col("_t")[i - 1]))
     df = df.select(*kept, "_t", F.when(F.size("_t") == 0, F.array().cast("array<int>")).otherwise(begins).alias("_i"))
     ends = F.concat(F.slice("_i", F.lit(2), F.greatest(F.size("_i"), F.lit(1))), F.array(F.size("_t")))
@@ -105,27 +105,37 @@ def as_text(samples: Column) -> Column:
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, lender of, characters it lends) for each row of ``docs`` (row, doc_id, text)."""
+    """(k, h, doc_id, n, copies, and for the distinct row before it: bk, bh and the characters it asks for) for each
+    distinct row of ``docs`` (k, h, doc_id, text)."""
     spark = docs.sparkSession
-    small, path = staged(docs.select("row", "doc_id", F.char_length("text").cast("long").alias("n")), "lengths")
-    rows, base, total = numbered(small, ["doc_id", "row"], "ranks")
+    small, path = staged(docs.groupBy("k", "h").agg(F.max("doc_id").alias("doc_id"), F.max(F.char_length("text").cast("long")).alias("n"), F.count("*").alias("copies")), "lengths")
+    rows, base, total = numbered(small, ["k", "h"], "ranks")
     drop(spark, path)
     before = spark.createDataFrame(sorted(base.items()), "part int, before long")  # a row for each partition
-    ranked = rows.join(F.broadcast(before), "part").select("row", "doc_id", "n", (F.col("before") + F.col("idx")).alias("rank"))
-    asks = ranked.select(F.pmod(F.col("rank") + 1, F.lit(max(total, 1))).alias("rank"), F.col("row").alias("borrower"), F.floor(F.col("n") / 4).alias("asked"))
-    return staged(ranked.join(asks, "rank").select("row", "doc_id", "n", "borrower", "asked"), "neighbours")[0]
+    ranked = rows.join(F.broadcast(before), "part").select("k", "h", "doc_id", "n", "copies", (F.col("before") + F.col("idx")).alias("rank"))
+    asks = ranked.select(F.pmod(F.col("rank") + 1, F.lit(max(total, 1))).alias("rank"), F.col("k").alias("bk"), F.col("h").alias("bh"), F.floor(F.col("n") / 4).alias("asked"))
+    return staged(ranked.join(asks, "rank").drop("rank"), "neighbours")[0]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each document; see the module."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    """A row for each document; see the module. Rows are named by (k, h): the id and a hash of the text; rows alike in both
+    are alike, and are carried once with their number."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ident = F.col("doc_id").cast("long")
+    texts = docs.select(F.coalesce(ident, F.lit(-(1 << 63))).alias("k"), F.xxhash64(text, ident.isNull()).alias("h"), ident.alias("doc_id"), text.alias("text"))
     near = _neighbours(texts)
-    own = with_fingerprint(texts.select("row", "text"), "text", "print").join(near, "row")
-    loans = own.select(F.col("borrower").alias("row"), F.expr("substring(text, 1, cast(asked as int))").alias("head"), F.col("print").alias("next_print"))
-    both = own.select("row", "doc_id", "n", "text", "print").join(loans, "row")
-    both = both.select("doc_id", "n", "print", "next_print", F.concat(F.expr("substring(text, 1, cast(n - floor(n / 4) as int))"), "head").alias("edited"))
+    printed = with_fingerprint(texts.select("k", "h", "text"), "text", "print")
+    own = printed.groupBy("k", "h").agg(F.first(F.struct("text", "print")).alias("own")).join(near, ["k", "h"])
+    loans = own.select(F.col("bk").alias("k"), F.col("bh").alias("h"), F.expr("substring(own.text, 1, cast(asked as int))").alias("head"), F.col("own.print").alias("next_print"))
+    both = own.select("k", "h", "doc_id", "n", "copies", "own").join(loans, ["k", "h"])
+    # all copies of a row but the last have a copy as the next document
+    kinds = F.expr("if(copies > 1, array(named_struct('self', false, 'times', 1L), named_struct('self', true, 'times', copies - 1)), array(named_struct('self', false, 'times', 1L)))")
+    both = both.select("doc_id", "n", "own", "head", "next_print", F.explode(kinds).alias("kind"))
+    head = F.when(F.col("kind.self"), F.expr("substring(own.text, 1, cast(floor(n / 4) as int))")).otherwise(F.col("head"))
+    both = both.select("doc_id", "n", F.col("kind.times").alias("times"), F.col("own.print").alias("print"), F.when(F.col("kind.self"), F.col("own.print")).otherwise(F.col("next_print")).alias("next_print"), F.concat(F.expr("substring(own.text, 1, cast(n - floor(n / 4) as int))"), head).alias("edited"))
     done = with_fingerprint(both, "edited", "edited_print")
-    return done.select(
+    out = done.select(
+        "times",
         "doc_id",
         F.col("n").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -134,6 +144,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("_copy", "times")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
