@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import graph, ppr
 from .csr import Csr, compact
-from .ppr import ALPHA, per_source
+from .ppr import ALPHA, per_source, spread
 from .push import accumulated_residue, cascade, push_vector
 from .walks import walk_ends
 
@@ -193,7 +193,7 @@ def backward_index(a: DataFrame, membership: DataFrame, k: int = 25, alpha: floa
         hit = np.flatnonzero(reserve)
         return pd.DataFrame({"source": g.ids[hit], "target": np.full(len(hit), target), "dppr": reserve[hit] * g.deg[hit]})
 
-    found = widest.groupBy("target").applyInPandas(run, "source long, target long, dppr double")
+    found = widest.repartition(spread(widest), "target").groupBy("target").applyInPandas(run, "source long, target long, dppr double")
     own = heavy.select(F.col("node").alias("target"), "comm").join(membership.withColumnRenamed("node", "source"), "comm").select("source", "target")
     return found.join(own, ["source", "target"], "left_semi")
 

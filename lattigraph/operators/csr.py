@@ -26,6 +26,11 @@ class Csr:
         self.deg = np.bincount(self.src, self.w, self.n)
         self.p = self.w / np.where(self.deg > 0, self.deg, 1)[self.src] if self.n else self.w
         self.m = (len(src) + int((src == dst).sum())) / 2
+        into = np.argsort(self.dst, kind="stable")
+        self._from, self._by, ends = self.src[into], self.p[into], self.dst[into]
+        self._into = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
+        self._ends = ends[self._into]
+        self._leave = np.flatnonzero(np.r_[True, self.src[1:] != self.src[:-1]]) if len(ends) else np.zeros(0, np.int64)
 
     def index(self, nodes) -> np.ndarray:
         """Places of nodes; -1 for nodes without arcs."""
@@ -39,16 +44,24 @@ class Csr:
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         """Mass of x moved along one arc each."""
-        return np.bincount(self.dst, x[self.src] * self.p, self.n)
+        out = np.zeros(self.n)
+        if len(self._into):
+            out[self._ends] = np.add.reduceat(x[self._from] * self._by, self._into)
+        return out
 
     def backward(self, x: np.ndarray) -> np.ndarray:
         """At u: the mean of x over the arcs that leave u."""
-        return np.bincount(self.src, x[self.dst] * self.p, self.n)
+        out = np.zeros(self.n)
+        if len(self._leave):
+            out[self.src[self._leave]] = np.add.reduceat(x[self.dst] * self.p, self._leave)
+        return out
 
 
 def compact(arcs: DataFrame, limit: int = LIMIT):
     """The graph as a broadcast value, or None if it has more than ``limit`` arcs."""
-    rows = arcs.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double")).limit(limit + 1).toPandas()
-    if len(rows) > limit:
+    arcs = arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w"))
+    if arcs.limit(limit + 1).count() > limit:
         return None
-    return arcs.sparkSession.sparkContext.broadcast(Csr(rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64), rows["w"].to_numpy(float)))
+    rows = arcs.toArrow()
+    src, dst, w = (rows.column(i).to_numpy() for i in range(3))
+    return arcs.sparkSession.sparkContext.broadcast(Csr(src, dst, w))

@@ -51,7 +51,14 @@ def per_source(seeds: DataFrame, csr, work, columns: tuple[str, ...]) -> DataFra
         return pd.DataFrame({"source": np.full(len(hit), rows["source"].iloc[0]), "node": g.ids[hit] if g.n else hit, **{c: p[hit] for c, p in zip(columns, parts)}})
 
     schema = "source long, node long, " + ", ".join(f"{c} double" for c in columns)
-    return seeds.select(F.col("source").cast("long"), F.col("node").cast("long"), F.col("value").cast("double")).groupBy("source").applyInPandas(run, schema)
+    seeds = seeds.select(F.col("source").cast("long"), F.col("node").cast("long"), F.col("value").cast("double"))
+    # seeds are small and the work on each source is not: keep them from being gathered in a few tasks
+    return seeds.repartition(spread(seeds), "source").groupBy("source").applyInPandas(run, schema)
+
+
+def spread(df: DataFrame) -> int:
+    """Partitions for rows that each stand for much work."""
+    return 3 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def truncated(a: DataFrame, seeds: DataFrame, steps: int = 15, alpha: float = ALPHA, engine: str = "auto") -> DataFrame:

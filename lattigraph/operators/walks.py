@@ -12,7 +12,7 @@ from ..functions.exprs import uniform
 from ..plans.loop import Settled, settle
 from . import graph
 from .csr import Csr, compact
-from .ppr import ALPHA
+from .ppr import ALPHA, spread
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def walks(a: DataFrame, need: DataFrame, alpha: float = ALPHA, seed: int = 2, fo
                 dest[ok] = g.ids[end]
                 yield pd.DataFrame({"source": rows["source"], "walk_no": rows["walk_no"], "dest": dest})
 
-        return numbered.mapInPandas(run, "source long, walk_no long, dest long")
+        return numbered.repartition(spread(numbered), "source", "walk_no").mapInPandas(run, "source long, walk_no long, dest long")
     near = settle(graph.arcs(a.select("src", "dst", F.col("w").alias("weight")).where("src <= dst")).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near")))
     state, step = Settled(numbered.select("source", "walk_no", F.col("source").alias("at"), F.lit(True).alias("going"))), 0
     while state.df.where("going").head(1):
