@@ -83,6 +83,11 @@ def singletons(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.col("node").alias("comm"))
 
 
+def move(membership: DataFrame, moves: DataFrame) -> DataFrame:
+    """``membership`` with the nodes of ``moves`` (node, comm) taken out of their community and put into another."""
+    return membership.join(moves.select("node", F.col("comm").alias("to")), "node", "left").select("node", F.coalesce("to", "comm").alias("comm"))
+
+
 def neighbour_communities(a: DataFrame, membership: DataFrame) -> DataFrame:
     """(node, comm, w): weight from a node to each community, without its self-loop; membership (node, comm)."""
     to = membership.select(F.col("node").alias("dst"), "comm")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import plane
+from ..plans.loop import settle
 from . import cluster, distance, graph, ppr
 
 POINTS = "node long, x double, y double"
@@ -34,6 +35,29 @@ def stress_layout(weighted: DataFrame, by: str | None = None, seed: int = 0, n_i
     return out.withColumnRenamed("g", by) if by else out.drop("g")
 
 
+class StressMDS:
+    """SMACOF with kept parameters. ``dissimilarity``: "precomputed" takes (i, j, d[, w]); "euclidean" takes (node, features)
+    of at most ``distance.DENSE`` nodes."""
+
+    def __init__(self, dissimilarity: str = "precomputed", seed: int = 0, n_init: int = 4, max_iter: int = 300, eps: float = 1e-3, metric: bool = True):
+        if dissimilarity not in ("precomputed", "euclidean"):
+            raise ValueError(f"unknown dissimilarity {dissimilarity!r}")
+        self.dissimilarity, self.how = dissimilarity, {"seed": seed, "n_init": n_init, "max_iter": max_iter, "eps": eps, "metric": metric}
+        self.embedding: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> "StressMDS":
+        """Lay ``df`` out; the result is kept in ``embedding``."""
+        if self.dissimilarity == "euclidean":
+            f = df.select("node", F.col("features").cast("array<double>").alias("f"))
+            pairs = distance.grid(f).join(f.select(F.col("node").alias("i"), F.col("f").alias("a")), "i").join(f.select(F.col("node").alias("j"), F.col("f").alias("b")), "j")
+            df = pairs.select("i", "j", F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)).alias("d"))
+        self.embedding = settle(stress_layout(df, **self.how))
+        return self
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).embedding
+
+
 def single_level(a: DataFrame, sizes: DataFrame | None = None, steps: int = 15, seed: int = 0, n_init: int = 4, vanilla: bool = False, clamp: bool = True) -> DataFrame:
     """The flagship: PPR distance, radii if ``sizes`` (node, size) are given, boosted weights between small components, SMACOF.
     Returns (node, x, y, stress[, r])."""

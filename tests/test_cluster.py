@@ -60,6 +60,11 @@ def test_modularity_and_coarsening(spark, arcs):
     assert cluster.modularity(coarse, same).first()[0] == pytest.approx(q)
 
 
+def test_moves(spark):
+    m = spark.createDataFrame([(1, 7), (2, 7), (3, 9)], "node long, comm long")
+    assert dict(cluster.move(m, spark.createDataFrame([(2, 9)], "node long, comm long")).collect()) == {1: 7, 2: 9, 3: 9}
+
+
 @pytest.mark.parametrize("engine", ["sequential", "rounds"])
 def test_louvain_finds_the_blocks(arcs, engine):
     levels = cluster.louvain(arcs, engine=engine)

@@ -129,3 +129,12 @@ def test_sizes_and_drawing(spark):
         layout.layout(a, "nothing")
     with pytest.raises(ValueError):
         layout.svg(p, most=3)
+
+
+def test_estimator(spark):
+    truth = np.random.default_rng(2).random((12, 3)) * [3, 2, 0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(truth)], "node long, features array<double>")
+    p = layout.StressMDS("euclidean", n_init=8, max_iter=500, eps=1e-9).fit_transform(df).orderBy("node").toPandas()[["x", "y"]].to_numpy()
+    assert np.abs(plane.distances(p) - plane.distances(truth)).max() < 0.05
+    with pytest.raises(ValueError):
+        layout.StressMDS("cosine")
