@@ -1,6 +1,6 @@
 """Command line: benchmark, view, convert, cluster, dppr.
 
-    python -m lattigraph.cli benchmark --edges twego.txt --method pprviz --mode metrics --repeat 3
+    python -m lattigraph.cli benchmark --edges graph.txt --method ppr --mode metrics --repeat 3
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def main(args: list[str] | None = None) -> None:
             else:
                 c.add_argument(option, default=default, type=type(default) if default is not None else str)
 
-    command("benchmark", benchmark, edges=str, method="pprviz", mode="metrics", repeat=1, seed=0, layout=None, out=None)
+    command("benchmark", benchmark, edges=str, method="ppr", mode="metrics", repeat=1, seed=0, layout=None, out=None)
     command("view", view, edges=str, mapping=str, hierarchy=str, supernode=str, method="taupush", k=25, seed=2, out="view.svg")
     command("convert", convert, edges=str, out=str, weighted=False, renumber=False)
     command("cluster", cluster_command, edges=str, out=str, method="louvainplus", k=25, seed=1, hard_cap=False, all_components=False)

@@ -18,6 +18,10 @@ from . import graph
 SEQUENTIAL = 500_000
 
 
+#: In distributed rounds the arcs of a hub are dealt over so many parts.
+SALTS = 16
+
+
 def _small(a: DataFrame, engine: str) -> bool:
     return engine == "sequential" or engine == "auto" and a.limit(SEQUENTIAL + 1).count() <= SEQUENTIAL
 
@@ -63,7 +67,9 @@ def components(a: DataFrame, engine: str = "auto") -> DataFrame:
         before = mark
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = Settled(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        salted = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        large = Settled(salted.join(copies, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = large.df.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = Settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

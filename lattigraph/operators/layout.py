@@ -61,7 +61,7 @@ class StressMDS:
 def single_level(a: DataFrame, sizes: DataFrame | None = None, steps: int = 15, seed: int = 0, n_init: int = 4, vanilla: bool = False, clamp: bool = True) -> DataFrame:
     """The flagship: PPR distance, radii if ``sizes`` (node, size) are given, boosted weights between small components, SMACOF.
     Returns (node, x, y, stress[, r])."""
-    d = distance.pprviz_distance(a, steps, degree_weighted=not vanilla, clamp=clamp)
+    d = distance.ppr_distance(a, steps, degree_weighted=not vanilla, clamp=clamp)
     radii = None
     if sizes is not None:
         d, radii = distance.inflate(d, sizes)
@@ -116,11 +116,11 @@ def plane_layout(a: DataFrame, method: str, seed: int = 0, most: int = distance.
     return a.select("src", "dst", "w").groupBy(F.lit(0).alias("g")).applyInPandas(lambda t: run(t), POINTS)
 
 
-def layout(a: DataFrame, method: str = "pprviz", seed: int = 0) -> DataFrame:
-    """(node, x, y) by name: pprviz, vanilla, unclamped, mds, simrank or a method of ``PLANE``."""
+def layout(a: DataFrame, method: str = "ppr", seed: int = 0) -> DataFrame:
+    """(node, x, y) by name: ppr, vanilla, unclamped, mds, simrank or a method of ``PLANE``."""
     if method in PLANE:
         return plane_layout(a, method, seed)
-    named = {"pprviz": lambda: single_level(a, seed=seed), "vanilla": lambda: single_level(a, seed=seed, vanilla=True), "unclamped": lambda: single_level(a, seed=seed, clamp=False), "mds": lambda: hop_mds(a, seed), "simrank": lambda: simrank_layout(a, seed=seed)}
+    named = {"ppr": lambda: single_level(a, seed=seed), "vanilla": lambda: single_level(a, seed=seed, vanilla=True), "unclamped": lambda: single_level(a, seed=seed, clamp=False), "mds": lambda: hop_mds(a, seed), "simrank": lambda: simrank_layout(a, seed=seed)}
     if method not in named:
         raise ValueError(f"unknown layout {method!r}")
     return named[method]().select("node", "x", "y")

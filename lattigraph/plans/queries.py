@@ -219,17 +219,17 @@ def simrank(t):
 
 @query
 def pdist(t):
-    return rounded(distance.pprviz_distance(partner_arcs(t)))
+    return rounded(distance.ppr_distance(partner_arcs(t)))
 
 
 @query
 def pdist_vanilla(t):
-    return rounded(distance.pprviz_distance(partner_arcs(t), degree_weighted=False))
+    return rounded(distance.ppr_distance(partner_arcs(t), degree_weighted=False))
 
 
 @query
 def pdist_unclamped(t):
-    return rounded(distance.pprviz_distance(partner_arcs(t), clamp=False))
+    return rounded(distance.ppr_distance(partner_arcs(t), clamp=False))
 
 
 @query
@@ -242,13 +242,13 @@ def pdist_natural_log(t):
 def radius_inflate(t):
     """Distances of nations inflated by radii of their numbers of customers."""
     sizes = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("node")).agg(F.count("*").alias("size"))
-    return rounded(distance.inflate(distance.pprviz_distance(partner_arcs(t)), sizes)[0])
+    return rounded(distance.inflate(distance.ppr_distance(partner_arcs(t)), sizes)[0])
 
 
 @query
 def component_weight_boost(t):
     a = settle(graph.symmetric(t.chain()))
-    return rounded(distance.boost_small(distance.weights(distance.pprviz_distance(a)), settle(cluster.components(a)), share=0.5).select("i", "j", "w"))
+    return rounded(distance.boost_small(distance.weights(distance.ppr_distance(a)), settle(cluster.components(a)), share=0.5).select("i", "j", "w"))
 
 
 @query

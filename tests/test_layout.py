@@ -110,7 +110,7 @@ def test_metrics_do_not_change_under_motion(spark):
     assert metrics.node_distribution(points_df(spark, [(0, 0), (0, 0)])).first()[0] == math.inf
 
 
-@pytest.mark.parametrize("method", ["pprviz", "vanilla", "unclamped", "mds", "simrank", *layout.PLANE])
+@pytest.mark.parametrize("method", ["ppr", "vanilla", "unclamped", "mds", "simrank", *layout.PLANE])
 def test_layouts_place_every_node(spark, method):
     a = graph.symmetric(edges_df(spark, EXAMPLE))
     p = layout.layout(a, method).toPandas()

@@ -122,9 +122,9 @@ def test_super_methods_are_close(spark, arcs, pi, method):
 
 def test_pdist(spark):
     a = graph.symmetric(edges_df(spark, [(0, 1), (1, 2), (3, 4)]))
-    d = dense(distance.pprviz_distance(a), 5, "d", "i", "j")
+    d = dense(distance.ppr_distance(a), 5, "d", "i", "j")
     assert d[0, 3] == pytest.approx(2 * math.log2(5)) and d.min() >= 2 and np.allclose(d, d.T)
-    b = distance.boost_small(distance.weights(distance.pprviz_distance(a)), spark.createDataFrame([(i, c) for i, c in zip(range(5), [0, 0, 0, 3, 4])], "node long, comp long"), share=0.5)
+    b = distance.boost_small(distance.weights(distance.ppr_distance(a)), spark.createDataFrame([(i, c) for i, c in zip(range(5), [0, 0, 0, 3, 4])], "node long, comp long"), share=0.5)
     w = dense(b, 5, "w", "i", "j")
     assert w[3, 4] == pytest.approx(2 / d[3, 4] ** 2) and w[0, 1] == pytest.approx(1 / d[0, 1] ** 2)
     h = dense(distance.hop_distance(a), 5, "d", "i", "j")
