@@ -69,7 +69,7 @@ def components(a: DataFrame, engine: str = "auto") -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         salted = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
         copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        large = Settled(salted.join(copies, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = Settled(salted.join(copies.hint("merge"), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = large.df.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = Settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
