@@ -5,12 +5,15 @@ words (words: runs of letters, digits and underscores, lower case).
 
 1. Of L words with k edits some run of ceil((L - k) / (k + 1)) words stays as it is. Only item-sized windows that
    such a run (of 4 words at most) aligns with an item are looked at; this bound loses no leak.
-2. Windows and items are embedded by CGK random walks: reading position i of the string at step j, the symbol is
-   written out and a random bit of (j, symbol) says whether i moves on. Strings at a small edit distance get
-   embeddings at a small Hamming distance. Bit-sampling LSH takes ``sampled`` positions of the embedding; with
-   ``walks`` independent walks, a leak at the largest distance is proposed with the target recall.
-3. Proposed windows are confirmed by the exact edit distance of the whole item to the best run of words around
-   the window (Myers' bit-vector search).
+2. An edit takes away at most one of the item's words, so a window that lacks more than k of them (counted with
+   repeats) is no leak. Only this bound drops windows; it loses no leak at any length of the item.
+3. The first ``EMBEDDED`` words of windows and items are embedded by CGK random walks: reading position i of the
+   string at step j, the symbol is written out and a random bit of (j, symbol) says whether i moves on. Strings at a
+   small edit distance get embeddings at a small Hamming distance. Windows that share ``sampled`` positions of one of
+   ``walks`` embeddings with their item are looked at first. That sets the order alone: walks drift apart as strings
+   grow, so what they do not propose is looked at as well.
+4. Windows are confirmed by the exact edit distance of the whole item to the best run of words around the window
+   (Myers' bit-vector search), unless the bound of 2. shows them worse than what their document has already.
 
 The index of the benchmark goes to every task, in blocks of at most ``block_bytes`` of text, so its size is
 bounded however large the benchmark is.
@@ -23,6 +26,7 @@ columns are not read. ``decontaminate`` keeps the input's columns.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,7 @@ from .common import mix64, table
 
 SIMILARITY = 0.8
 WALKS, SAMPLED = 32, 3
+EMBEDDED = 64
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -89,11 +94,13 @@ class LeakIndex:
             lists = [found[c] for c in codes.tolist()]
             n = np.array([len(x) for x in lists])
             self.grams[q] = codes, np.cumsum(n) - n, n, np.array([p for x in lists for p in x], np.int64).reshape(-1, 2)
-        self.length = max((len(i[1]) for i in self.items), default=1)
-        self.sizes = np.array([len(i[1]) for i in self.items], np.int64)
+        self.most = np.array([k for _, _, k in self.items], np.int64)
+        self.bags = [Counter(ids) for _, ids, _ in self.items]
+        self.sizes = np.minimum(np.array([len(i[1]) for i in self.items], np.int64), EMBEDDED)
+        self.length = int(self.sizes.max(initial=1))
         own = np.zeros((len(self.items), self.length), np.uint64)
         for at, (_, ids, _) in enumerate(self.items):
-            own[at, : len(ids)] = ids
+            own[at, : self.sizes[at]] = ids[: self.sizes[at]]
         self.marks = self._marks(own, np.arange(len(self.items)))
 
     @staticmethod
@@ -161,13 +168,29 @@ class LeakIndex:
             doc = np.searchsorted(lo, at, side="right") - 1
             cand.append(np.stack([np.repeat(doc, c), posts[which, 0], np.repeat(at - lo[doc], c) - posts[which, 1]], axis=1))
         cand = np.unique(np.concatenate(cand), axis=0) if cand else np.zeros((0, 3), np.int64)
+        best: dict[tuple[int, int], tuple] = {}
         for block in range(0, len(cand), 20_000):
             some = cand[block : block + 20_000]
+            floor = self._floors(ids, lo, n, some)
+            some = np.concatenate([some, floor[:, None]], axis=1)[floor <= self.most[some[:, 1]]]
             if lsh:
-                some = some[self._proposed(ids, lo, n, some)]
-            self._confirm(ids, lo, n, some, found)
+                some = some[np.argsort(~self._proposed(ids, lo, n, some[:, :3]), kind="stable")]
+            self._confirm(ids, lo, n, some, best)
+        for (doc, item), (edits, first, last) in sorted(best.items()):
+            item_id, pattern, _ = self.items[item]
+            found[doc].append((item_id, len(pattern), edits, 1 - edits / len(pattern), first, last))
         return found
 
+    def _around(self, ids, lo, n, doc: int, item: int, start: int) -> tuple[int, list[int]]:
+        """Where the words that a leak at ``start`` may reach begin, and these words."""
+        _, pattern, k = self.items[item]
+        a, b = max(0, start - k), min(int(n[doc]), start + len(pattern) + k)
+        return a, ids[lo[doc] + a : lo[doc] + b].tolist()
+
+    def _floors(self, ids, lo, n, cand) -> np.ndarray:
+        """The number of the item's words that are not around each window: no run there is at fewer edits."""
+        return np.array([(self.bags[item] - Counter(self._around(ids, lo, n, doc, item, start)[1])).total() for doc, item, start in cand.tolist()], np.int64)
+
     def _proposed(self, ids, lo, n, cand) -> np.ndarray:
         doc, item, start = cand.T
         span = np.arange(self.length)[None]
@@ -176,19 +199,15 @@ class LeakIndex:
         windows = np.where(inside, ids[np.where(inside, lo[doc][:, None] + at, 0)], np.uint64(0))
         return (self._marks(windows, item) == self.marks[item]).all(axis=2).any(axis=1)
 
-    def _confirm(self, ids, lo, n, cand, found) -> None:
-        best: dict[tuple[int, int], tuple] = {}
-        for doc, item, start in cand.tolist():
+    def _confirm(self, ids, lo, n, cand, best) -> None:
+        for doc, item, start, floor in cand.tolist():
             _, pattern, k = self.items[item]
-            if (doc, item) in best and best[doc, item][0] == 0:
+            if (floor, max(0, start)) > best.get((doc, item), (k + 1,)):
                 continue
-            a, b = max(0, start - k), min(int(n[doc]), start + len(pattern) + k)
-            edits, end = fit_distance(pattern, ids[lo[doc] + a : lo[doc] + b].tolist())
+            a, text = self._around(ids, lo, n, doc, item, start)
+            edits, end = fit_distance(pattern, text)
             if edits <= k:
                 best[doc, item] = min(best.get((doc, item), (k + 1,)), (edits, max(0, start), a + end - 1))
-        for (doc, item), (edits, first, last) in sorted(best.items()):
-            item_id, pattern, _ = self.items[item]
-            found[doc].append((item_id, len(pattern), edits, 1 - edits / len(pattern), first, last))
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int, **how) -> Iterator[LeakIndex]:

@@ -68,6 +68,27 @@ def test_lsh_proposes_what_the_exact_search_finds():
     assert sum(map(len, a)) >= 0.97 * sum(map(len, b))
 
 
+@pytest.mark.parametrize("deletions", [False, True])
+@pytest.mark.parametrize("size", [30, 100, 400, 1000])
+def test_no_leak_is_lost_at_any_length(size, deletions):
+    items = [(i, words(100 * size + i, size)) for i in range(8)]
+    rows = []
+    for i, text in items:
+        w, k = text.split(), int(0.2 * size)
+        if deletions:
+            w = [w[j] for j in sorted(np.random.default_rng(size + i).permutation(size)[k:])]
+        rows.append(words(7000 + i, 40) + " " + (" ".join(w) if deletions else edited(text, k, size + i)) + " " + words(8000 + i, 40))
+    found = dc.LeakIndex(items).search(rows)
+    for (i, text), row, got in zip(items, rows, found):
+        assert {g[0]: g[2] for g in got}[i] == edit_fit(text.split(), row.split()) <= 0.2 * size
+
+
+def test_a_leak_is_reported_once_however_many_windows_it_has():
+    text = "one two three four " * 30
+    found = dc.LeakIndex([(1, text)]).search([text * 200])
+    assert len(found[0]) == 1 and found[0][0][2] == 0
+
+
 def test_leaks_and_filter(spark):
     items, rows = planted(0.1)
     clean = [(10_000 + i, words(5000 + i, 100)) for i in range(40)]
