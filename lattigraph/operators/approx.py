@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.loop import settle
 from . import graph, ppr
 from .csr import Csr, compact
 from .ppr import ALPHA, per_source, spread
-from .push import accumulated_residue, cascade, push_vector
+from .push import accumulated_residue, cascade, push, push_vector
 from .walks import walk_ends
 
 METHODS = ("powiter", "fora", "foraplus", "foratp", "foraresacc", "fpsn", "taupush")
@@ -136,8 +137,10 @@ def _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau, cluster_degree
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     csr = compact(a)
+    if csr is None and method in ("fpsn", "taupush"):
+        return push(a, seeds, acc.push(k_tau), alpha, engine="join").select("source", "node", F.col("reserve").alias("value"))
     if csr is None:
-        raise ValueError("the graph is beyond the size for one task; use powiter, or push with engine='join'")
+        raise ValueError("the graph is beyond the size for one task; use powiter, fpsn or taupush, or push with engine='join'")
     total = None
     if method == "foratp":
         if cluster_degree is None:
@@ -177,14 +180,20 @@ def backward_index(a: DataFrame, membership: DataFrame, k: int = 25, alpha: floa
     membership: (node, comm)."""
     acc = accuracy(a, k)
     csr = compact(a)
-    if csr is None:
-        raise ValueError("the graph is beyond the size for one task; use push with backward=True, engine='join'")
     heavy = tau_targets(ppr.dnpr_closed(a, alpha=alpha), acc.tau_max).join(membership, "node")
     delta = acc.n * acc.tau_max / acc.k
     scale = acc.epsilon(delta) * delta
     deg = graph.weighted_degree(a)
     widest = heavy.select(F.col("node").alias("target"), "comm").join(membership, "comm").where("node <> target").join(deg, "node").groupBy("target").agg(F.max("wdeg").alias("dmax"))
 
+    own = heavy.select(F.col("node").alias("target"), "comm").join(membership.withColumnRenamed("node", "source"), "comm").select("source", "target")
+    if csr is None:
+        # one threshold for all targets, the smallest of theirs
+        widest = settle(widest)
+        most = widest.agg(F.max("dmax")).first()[0]
+        pushed = push(a, ppr.unit_seeds(widest.select(F.col("target").alias("node"))), scale / (most or 1.0), alpha, backward=True, engine="join")
+        return pushed.select(F.col("node").alias("source"), F.col("source").alias("target"), "reserve").where("reserve <> 0").join(own, ["source", "target"], "left_semi").join(deg.withColumnRenamed("node", "source"), "source").select("source", "target", (F.col("reserve") * F.col("wdeg")).alias("dppr"))
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         g, target = csr.value, int(rows["target"].iloc[0])
         x = np.zeros(g.n)
@@ -194,7 +203,6 @@ def backward_index(a: DataFrame, membership: DataFrame, k: int = 25, alpha: floa
         return pd.DataFrame({"source": g.ids[hit], "target": np.full(len(hit), target), "dppr": reserve[hit] * g.deg[hit]})
 
     found = widest.repartition(spread(widest), "target").groupBy("target").applyInPandas(run, "source long, target long, dppr double")
-    own = heavy.select(F.col("node").alias("target"), "comm").join(membership.withColumnRenamed("node", "source"), "comm").select("source", "target")
     return found.join(own, ["source", "target"], "left_semi")
 
 

@@ -106,6 +106,16 @@ def ppr_truncated(t):
     return rounded(ppr.truncated(a, ppr.unit_seeds(graph.nodes(a))))
 
 
+@query
+def ppr_truncated_ps(t):
+    return rounded(ppr.truncated(ps_arcs(t), ppr.unit_seeds(t.ps_sources())))
+
+
+@query
+def dppr_exact_ps(t):
+    return rounded(ppr.dppr(ps_arcs(t), t.ps_sources(), tolerance=1e-9), 7)
+
+
 @query
 def dppr_exact(t):
     return rounded(ppr.dppr(partner_arcs(t), tolerance=1e-12), 7)
@@ -150,9 +160,20 @@ def push_virtual_rounds(t):
     return rounded(push.push(a, ppr.super_seeds(a, t.ps_members()), 0.0003, rounds=3))
 
 
+@query
+def push_forward_ps(t):
+    """Push from the sources until no residue is over the threshold."""
+    a = ps_arcs(t)
+    return rounded(push.push(a, ppr.degree_seeds(a, t.ps_sources()), 0.0001))
+
+
+@query
+def push_backward_ps(t):
+    return rounded(push.push(ps_arcs(t), ppr.unit_seeds(t.ps_sources()), 0.001, backward=True))
+
+
 def _leaf(t, method):
-    a = partner_arcs(t)
-    return rounded(approx.leaf_dppr(a, graph.nodes(a), method, k=5))
+    return rounded(approx.leaf_dppr(ps_arcs(t), settle(t.ps_sources()), method))
 
 
 @query
@@ -182,9 +203,9 @@ def fpsn(t):
 
 @query
 def tau_push(t):
-    a = partner_arcs(t)
-    index = settle(approx.backward_index(a, graph.nodes(a).select("node", F.lit(0).cast("long").alias("comm")), k=5))
-    return rounded(approx.leaf_dppr(a, graph.nodes(a), "taupush", k=5, backward=index))
+    a, sources = ps_arcs(t), settle(t.ps_sources())
+    index = settle(approx.backward_index(a, sources.select("node", F.lit(0).cast("long").alias("comm"))))
+    return rounded(approx.leaf_dppr(a, sources, "taupush", backward=index))
 
 
 @query
@@ -199,8 +220,8 @@ def super_fora_tp(t):
 
 @query
 def walk_index(t):
-    a = partner_arcs(t)
-    acc = approx.accuracy(a, 5)
+    a = ps_arcs(t)
+    acc = approx.accuracy(a)
     return walks.walk_index(a, *acc.index_threshold(acc.mean_degree))
 
 
@@ -314,12 +335,12 @@ def cluster_mean_dnpr(t):
 
 @query
 def louvain(t):
-    return cluster.louvain(trade_arcs(t))[-1]
+    return cluster.louvain(ps_arcs(t))[-1]
 
 
 @query
 def louvain_plus(t):
-    return cluster.louvain_plus(partner_arcs(t), k=5)[0]
+    return cluster.louvain_plus(ps_arcs(t))[0]
 
 
 # selection
@@ -345,7 +366,7 @@ def tau_split(t):
 @query
 def zoom_path(t):
     """The supernodes on a seeded way down from the root."""
-    membership, hierarchy = cluster.louvain_plus(partner_arcs(t), k=5)
+    membership, hierarchy = cluster.louvain_plus(ps_arcs(t))
     return t.spark.createDataFrame(cluster.random_path(hierarchy, membership), "level int, id long")
 
 

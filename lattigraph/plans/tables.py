@@ -21,6 +21,10 @@ class Tables:
     def ps(self) -> DataFrame:
         return self.lineitem.select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"))
 
+    def ps_sources(self) -> DataFrame:
+        """(node): the suppliers with keys up to 40 that have line items; as many at any size of the tables."""
+        return self.ps().where("dst <= 81").select(F.col("dst").alias("node")).distinct()
+
     def trade(self) -> DataFrame:
         """(src, dst, weight): customer's nation, supplier's nation, line items."""
         lines = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(self.customer, F.col("o_custkey") == F.col("c_custkey")).join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey"))

@@ -143,3 +143,31 @@ def test_simrank(spark):
         s = 0.9 * w @ s @ w.T
         np.fill_diagonal(s, 1)
     assert np.allclose(got, s)
+
+
+def test_tau_push_by_joins_beyond_one_task(spark, monkeypatch):
+    a = settle(graph.symmetric(edges_df(spark, random_edges(40, 60))))
+    nodes = settle(graph.nodes(a))
+    comm = nodes.select("node", F.lit(0).cast("long").alias("comm"))
+
+    def values():
+        index = settle(approx.backward_index(a, comm, k=2))
+        rows = approx.leaf_dppr(a, nodes, "fpsn", k=2), approx.leaf_dppr(a, nodes, "taupush", k=2, backward=index)
+        return [dense(x, 40) for x in rows], index.count()
+
+    (fpsn, tau), heavy = values()
+    monkeypatch.setattr(approx, "compact", lambda a: None)
+    (fpsn_join, tau_join), heavy_join = values()
+    assert np.abs(fpsn - fpsn_join).max() < 1e-9 and heavy_join >= heavy
+    exact = dense(ppr.dppr(a, nodes), 40)
+    assert np.abs(tau_join - exact).max() <= np.abs(tau - exact).max() + 1e-9
+
+
+def test_queries_on_a_graph_that_grows(spark):
+    from lattigraph.plans import queries, tables
+
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    n = graph.nodes(queries.ps_arcs(t)).count()
+    assert queries.REGISTRY["walk_index"](spark, t.dir).select("source").distinct().count() == n > 25
+    assert queries.REGISTRY["louvain_plus"](spark, t.dir).where("level = 1").count() == n
+    assert queries.REGISTRY["push_forward_ps"](spark, t.dir).select("source").distinct().count() == t.ps_sources().count() > 0
