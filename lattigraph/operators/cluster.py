@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import supernode_name
+from ..functions.exprs import supernode_name, uniform
 from ..plans.loop import Settled, settle
 from . import graph
 
@@ -176,8 +177,9 @@ def _sequential_moves(src, dst, w, seed: int, epsilon: float) -> tuple[np.ndarra
     return ids, comm
 
 
-def local_moves(a: DataFrame, seed: int = 1, epsilon: float = 1e-6, rounds: int = 30, engine: str = "auto") -> DataFrame:
-    """(node, comm) after one level of Louvain: nodes move one by one in a small graph, in synchronous rounds in a large one."""
+def local_moves(a: DataFrame, seed: int = 1, epsilon: float = 1e-6, engine: str = "auto") -> DataFrame:
+    """(node, comm) after one level of Louvain: nodes move one by one in a small graph, in synchronous rounds in a large one,
+    until a pass, or the moves that are left, gain at most ``epsilon`` modularity."""
     if _small(a, engine):
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -189,31 +191,36 @@ def local_moves(a: DataFrame, seed: int = 1, epsilon: float = 1e-6, rounds: int
     quality = modularity(a, now.df).first()[0]
     deg = settle(graph.weighted_degree(a))
     m2 = a.agg(F.sum("w")).first()[0]
-    for i in range(rounds):
+    share = 0.5  # of the nodes that would gain, so many move in a round, so that neighbours do not swap
+    for i in count():
         tot = now.df.join(deg, "node").groupBy("comm").agg(F.sum("wdeg").alias("tot"))
-        # every node looks at its own community too; half of the nodes move in a round, so that neighbours do not swap
+        # every node looks at its own community too
         options = neighbour_communities(a, now.df).unionByName(now.df.select("node", "comm", F.lit(0.0).alias("w"))).groupBy("node", "comm").agg(F.sum("w").alias("w"))
         rated = options.join(tot, "comm").join(deg, "node").join(now.df.select("node", F.col("comm").alias("own")), "node")
         gain = F.col("w") - (F.col("tot") - F.when(F.col("own") == F.col("comm"), F.col("wdeg")).otherwise(0.0)) * F.col("wdeg") / m2
-        best = rated.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), (-F.col("comm")).alias("c")))["c"].alias("c"))
-        moves = F.pmod(F.xxhash64("node", F.lit(seed + i)), F.lit(2)) == 0
-        new = Settled(now.df.join(best, "node").select("node", F.when(moves, -F.col("c")).otherwise(F.col("comm")).alias("comm")))
-        better = modularity(a, new.df).first()[0]
-        if better - quality <= epsilon and i % 2:
-            if better > quality:
-                now.remove()
-                now = new
+        best = rated.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), (-F.col("comm")).alias("c"))).alias("best"), F.max(F.when(F.col("own") == F.col("comm"), gain)).alias("stay"))
+        up = F.col("best")["gain"] - F.col("stay")
+        wanted = Settled(best.where(up > 1e-15).select("node", (-F.col("best")["c"]).alias("comm"), up.alias("up")))
+        if 2 * (wanted.df.agg(F.sum("up")).first()[0] or 0.0) / m2 <= epsilon:
+            wanted.remove()
             break
-        now.remove()
-        now, quality = new, better
+        new = Settled(move(now.df, wanted.df.where(uniform(seed + i, F.col("node")) < share)))
+        better = modularity(a, new.df).first()[0]
+        wanted.remove()
+        if better > quality:
+            now.remove()
+            now, quality, share = new, better, min(0.5, 2 * share)
+        else:  # moves that spoil one another, or none drawn: fewer of them next time, at least one in expectation
+            new.remove()
+            share = max(share / 2, 1e-9) if better < quality else min(0.5, 2 * share)
     return now.df
 
 
-def louvain(a: DataFrame, seed: int = 1, epsilon: float = 1e-6, levels: int = 20, engine: str = "auto") -> list[DataFrame]:
+def louvain(a: DataFrame, seed: int = 1, epsilon: float = 1e-6, levels: int | None = None, engine: str = "auto") -> list[DataFrame]:
     """Memberships (node, comm) of each level over the original nodes, from fine to coarse."""
     out: list[DataFrame] = []
     level, carried = a, singletons(graph.nodes(a))
-    for i in range(levels):
+    for i in count() if levels is None else range(levels):
         moved = settle(_relabel(local_moves(level, seed + i, epsilon, engine=engine)))
         if moved.select("comm").distinct().count() == moved.count():
             break
@@ -223,11 +230,9 @@ def louvain(a: DataFrame, seed: int = 1, epsilon: float = 1e-6, levels: int = 20
     return out or [carried]
 
 
-def merge_round(a: DataFrame, sizes: DataFrame, k: int, seed: int, hard_cap: bool = False) -> DataFrame:
-    """Proposals that win in one round of size-bounded merging: (a, b) pairs, disjoint.
-
-    A community below k proposes the neighbour with the largest gain among those it fits with (sizes sum to at most k), else the
-    smallest neighbour (not with ``hard_cap``). A pair goes ahead if it has the smallest hashed priority at both ends."""
+def merge_proposals(a: DataFrame, sizes: DataFrame, k: int, hard_cap: bool = False) -> DataFrame:
+    """(src, ss, dst, sd, fits): what each community below k, of size ss, would join: the neighbour with the largest gain among
+    those it fits with (sizes sum to at most k), else the smallest neighbour (not with ``hard_cap``)."""
     deg = graph.weighted_degree(a)
     m2 = a.agg(F.sum("w").alias("m2"))
     s = sizes.select(F.col("comm").alias("src"), F.col("size").alias("ss")).join(deg.select(F.col("node").alias("src"), F.col("wdeg").alias("ds")), "src", "left")
@@ -237,11 +242,21 @@ def merge_round(a: DataFrame, sizes: DataFrame, k: int, seed: int, hard_cap: boo
     gain = F.col("w") - F.col("dd") * F.col("ds") / F.col("m2")
     if hard_cap:
         rated = rated.where(fits)
-    score = F.struct(fits.cast("int").alias("fits"), F.when(fits, gain).otherwise(-F.col("sd").cast("double")).alias("score"), (-F.col("dst")).alias("tie"))
-    best = rated.groupBy("src").agg(F.max(score)["tie"].alias("tie")).select(F.least("src", -F.col("tie")).alias("a"), F.greatest("src", -F.col("tie")).alias("b")).distinct()
-    ranked = settle(best.withColumn("p", F.xxhash64("a", "b", F.lit(seed))))
-    low = ranked.select(F.explode(F.array("a", "b")).alias("x"), "p").groupBy("x").agg(F.min("p").alias("low"))
-    return ranked.join(low.select(F.col("x").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("x").alias("b"), F.col("low").alias("lb")), "b").where("p = la and p = lb").select("a", "b")
+    score = F.struct(fits.cast("int").alias("fits"), F.when(fits, gain).otherwise(-F.col("sd").cast("double")).alias("score"), (-F.col("dst")).alias("tie"), "sd")
+    best = rated.groupBy("src").agg(F.max(score).alias("best"), F.max("ss").alias("ss"))
+    return best.select("src", "ss", (-F.col("best")["tie"]).alias("dst"), F.col("best")["sd"].alias("sd"), (F.col("best")["fits"] == 1).alias("fits"))
+
+
+def merge_round(proposals: DataFrame, k: int, seed: int) -> DataFrame:
+    """(a, b): community b joins a. In a round a community below k either joins or is joined, by a hashed coin; those of k
+    and more are joined. Any number join one community; of those that fit with it, as many as fit together."""
+    coin = lambda c: uniform(seed, F.col(c)) < 0.5
+    moving = proposals.where(coin("src") & ((F.col("sd") >= k) | ~coin("dst"))).withColumns({"p": F.xxhash64("src", F.lit(seed)), "salt": F.pmod(F.xxhash64("src"), F.lit(SALTS))})
+    fitting = moving.where("fits")
+    for key in (["dst", "salt"], ["dst"]):  # a part of a hub's proposals leaves no more than fit, then all parts together
+        so_far = F.sum("ss").over(Window.partitionBy(*key).orderBy("p", "src").rowsBetween(Window.unboundedPreceding, 0))
+        fitting = fitting.withColumn("so_far", so_far).where(F.col("sd") + F.col("so_far") <= k).drop("so_far")
+    return fitting.unionByName(moving.where("not fits")).select(F.col("dst").alias("a"), F.col("src").alias("b"))
 
 
 def _merge_in_order(src, dst, w, k: int, seed: int, hard_cap: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -290,9 +305,9 @@ def _merge_in_order(src, dst, w, k: int, seed: int, hard_cap: bool) -> tuple[np.
     return ids, np.array([root(v) for v in range(n)])
 
 
-def size_bounded_level(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, rounds: int = 200, engine: str = "auto") -> DataFrame:
+def size_bounded_level(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, engine: str = "auto") -> DataFrame:
     """(node, comm): one level of Louvain+; communities count nodes of this level. A small graph is merged in order, a
-    large one in rounds of matchings."""
+    large one in rounds of joins, until no community below k has one to join."""
     if _small(a, engine):
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -302,11 +317,15 @@ def size_bounded_level(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool
         return _in_one_task(a, run, "node long, comm long")
     member = Settled(singletons(graph.nodes(a)))
     level = Settled(a)
-    for i in range(rounds):
-        sizes = settle(member.df.groupBy("comm").agg(F.count("*").alias("size")))
-        pairs = settle(merge_round(level.df, sizes, k, seed + i, hard_cap))
-        if not pairs.head(1):
+    for i in count():
+        proposals = Settled(merge_proposals(level.df, member.df.groupBy("comm").agg(F.count("*").alias("size")), k, hard_cap))
+        if not proposals.df.head(1):
+            proposals.remove()
             break
+        pairs = settle(merge_round(proposals.df, k, seed + i))
+        proposals.remove()
+        if not pairs.head(1):
+            continue
         new_name = pairs.select(F.col("b").alias("comm"), F.col("a").alias("to"))
         new_member = Settled(member.df.join(new_name, "comm", "left").select("node", F.coalesce("to", "comm").alias("comm")))
         ms = pairs.select(F.col("b").alias("src"), F.col("a").alias("s"))
@@ -318,7 +337,7 @@ def size_bounded_level(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool
     return _relabel(member.df)
 
 
-def louvain_plus(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, include_small_components: bool = False, levels: int = 20, engine: str = "auto") -> tuple[DataFrame, DataFrame]:
+def louvain_plus(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = False, include_small_components: bool = False, levels: int | None = None, engine: str = "auto") -> tuple[DataFrame, DataFrame]:
     """The hierarchy of every chosen component (the largest, or all): membership (component, level, id, leaf) and
     hierarchy (component, level, id, child_id) from level 2. Levels are built until at most k supernodes are left; then one root joins them."""
     comps = settle(components(a, engine))
@@ -330,7 +349,7 @@ def louvain_plus(a: DataFrame, k: int = 25, seed: int = 1, hard_cap: bool = Fals
     comp_of = nodes
     leaf_of = nodes.select("node", F.col("node").alias("leaf"))
     memberships, hierarchies = [], []
-    for level in range(1, levels + 1):
+    for level in count(1) if levels is None else range(1, levels + 1):
         alone = comp_of.join(level_arcs.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
         grouped = size_bounded_level(level_arcs, k, seed + 1000 * level, hard_cap, engine=engine) if level_arcs.head(1) else None
         if grouped is None:

@@ -91,6 +91,31 @@ def test_louvain_plus_contract(spark, hard, engine):
     assert path == cluster.random_path(hierarchy, membership) and path[-1][0] == 1
 
 
+@pytest.mark.parametrize("engine", ["sequential", "rounds"])
+def test_all_leaves_join_their_hub(spark, engine):
+    a = settle(graph.symmetric(edges_df(spark, [(0, i) for i in range(1, 401)])))
+    assert cluster.size_bounded_level(a, 10, engine=engine).select("comm").distinct().count() == 1
+    capped = cluster.size_bounded_level(a, 10, hard_cap=True, engine=engine).groupBy("comm").count().agg(F.max("count"), F.count("*")).first()
+    assert tuple(capped) == (10, 392)
+
+
+@pytest.mark.parametrize("engine", ["sequential", "rounds"])
+def test_no_move_is_left(spark, engine):
+    edges = [(i, i + 1) for i in range(300)] + random_edges(60, 90)
+    a = settle(graph.symmetric(edges_df(spark, edges)))
+    comm = dict(cluster.local_moves(a, engine=engine).collect())
+    near, tot, m2 = {}, {}, 0
+    for r in a.collect():
+        near.setdefault(r.src, []).append(r.dst)
+        tot[comm[r.src]] = tot.get(comm[r.src], 0) + 1
+        m2 += 1
+    left = 0
+    for v, to in near.items():
+        gain = lambda c: sum(comm[u] == c for u in to) - (tot[c] - (len(to) if c == comm[v] else 0)) * len(to) / m2  # noqa: E731,B023
+        left += max(0, max(gain(comm[u]) for u in to) - gain(comm[v]))
+    assert 2 * left / m2 <= 1e-6
+
+
 def test_all_components_are_clustered(arcs):
     membership, _ = cluster.louvain_plus(arcs, k=10, include_small_components=True)
     assert membership.where("level = 1").count() == 43 and cluster.roots(membership).count() == 2
