@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import uniform
@@ -15,6 +15,10 @@ from .csr import Csr, compact
 from .ppr import ALPHA, spread
 
 
+#: In the join engine a node's arcs are added up in so many parts, and looked up in buckets of about so many arcs.
+SALTS, BUCKET = 16, 64
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -81,20 +85,43 @@ def walks(a: DataFrame, need: DataFrame, alpha: float = ALPHA, seed: int = 2, fo
                 yield pd.DataFrame({"source": rows["source"], "walk_no": rows["walk_no"], "dest": dest})
 
         return numbered.repartition(spread(numbered), "source", "walk_no").mapInPandas(run, "source long, walk_no long, dest long")
-    near = settle(graph.arcs(a.select("src", "dst", F.col("w").alias("weight")).where("src <= dst")).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("near")))
+    table, degree = arc_ranges(a)
     state, step = Settled(numbered.select("source", "walk_no", F.col("source").alias("at"), F.lit(True).alias("going"))), 0
     while state.df.where("going").head(1):
         stops = F.lit(False) if force_first and not step else uniform(seed + 2 * step, F.col("source"), F.col("walk_no")) < alpha
         moving = state.df.where("going").withColumn("going", ~stops)
-        joined = moving.where("going").join(near, F.col("at") == F.col("src"), "left")
-        place = F.least(F.floor(uniform(seed + 2 * step + 1, F.col("source"), F.col("walk_no")) * F.size("near")).cast("int"), F.size("near") - 1)
-        moved = joined.select("source", "walk_no", F.coalesce(F.element_at("near", place + 1), F.col("source")).alias("at"), F.lit(True).alias("going"))
+        # a walk's mark on the weights of its node, and the bucket that holds the mark
+        drawn = moving.where("going").join(degree, F.col("at") == F.col("node"), "left").withColumn("mark", uniform(seed + 2 * step + 1, F.col("source"), F.col("walk_no")) * F.col("wdeg"))
+        drawn = drawn.withColumn("bucket", F.least(F.floor(F.col("mark") / F.col("wide")), F.col("buckets") - 1))
+        met = drawn.join(table, (F.col("at") == F.col("src")) & (F.col("bucket") == F.col("in_bucket")) & (F.col("mark") >= F.col("low")) & (F.col("mark") < F.col("high")), "left")
+        moved = met.select("source", "walk_no", F.coalesce("dst", "source").alias("at"), F.lit(True).alias("going"))
         new = Settled(state.df.where("not going").unionByName(moving.where("not going")).unionByName(moved))
         state.remove()
         state, step = new, step + 1
     return state.df.select("source", "walk_no", F.col("at").alias("dest"))
 
 
+def arc_ranges(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs as ranges low .. high of their node's weight, in buckets: (src, dst, low, high, in_bucket), and (node, wdeg,
+    wide, buckets). Buckets are of equal width, one for ``BUCKET`` arcs; an arc lies in all that it reaches into. Arcs are
+    added up in parts by a hash of dst, so that a hub is in no single task."""
+    arcs = a.select("src", "dst", "w").withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
+    within = Window.partitionBy("src", "part").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+    parts = settle(arcs.groupBy("src", "part").agg(F.sum("w").alias("total"), F.count("*").alias("arcs")))
+    before = parts.select("src", "part", (F.sum("total").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("before"))
+    degree = settle(parts.groupBy(F.col("src").alias("node")).agg(F.sum("total").alias("sum"), F.ceil(F.sum("arcs") / BUCKET).alias("buckets")))
+    ends = arcs.withColumn("upto", F.sum("w").over(within)).join(before, ["src", "part"]).select("src", "dst", "part", (F.col("before") + F.col("upto")).alias("high"))
+    # an arc begins where the one before ends: ranges leave no gap to rounding
+    last = F.lag("high").over(Window.partitionBy("src", "part").orderBy("dst"))
+    ends = settle(ends.withColumn("last", last))
+    tops = ends.groupBy("src", "part").agg(F.max("high").alias("top"))
+    first = tops.select("src", "part", F.coalesce(F.lag("top").over(Window.partitionBy("src").orderBy("part")), F.lit(0.0)).alias("first"))
+    degree = settle(degree.join(tops.groupBy(F.col("src").alias("node")).agg(F.max("top").alias("wdeg")), "node").select("node", "wdeg", (F.col("wdeg") / F.col("buckets")).alias("wide"), "buckets"))
+    ranges = ends.join(first, ["src", "part"]).join(degree, F.col("src") == F.col("node")).withColumn("low", F.coalesce("last", "first"))
+    bucket = lambda c: F.least(F.floor(F.col(c) / F.col("wide")), F.col("buckets") - 1)
+    return settle(ranges.select("src", "dst", "low", "high", F.explode(F.sequence(bucket("low"), bucket("high"))).alias("in_bucket"))), degree
+
+
 def walk_index(a: DataFrame, rmax: float, omega: float, alpha: float = ALPHA, seed: int = 2, plus: bool = False) -> DataFrame:
     """ceil(deg * rmax * omega) walks from every node; ``plus``: times (1 - alpha), and the first hop is forced."""
     share = (1 - alpha) if plus else 1.0

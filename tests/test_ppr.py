@@ -171,3 +171,17 @@ def test_queries_on_a_graph_that_grows(spark):
     assert queries.REGISTRY["walk_index"](spark, t.dir).select("source").distinct().count() == n > 25
     assert queries.REGISTRY["louvain_plus"](spark, t.dir).where("level = 1").count() == n
     assert queries.REGISTRY["push_forward_ps"](spark, t.dir).select("source").distinct().count() == t.ps_sources().count() > 0
+
+
+def test_weighted_walks_agree_between_engines(spark):
+    edges = [(0, i, float(i)) for i in range(1, 200)] + [(1, 2, 50.0), (3, 4, 0.25)]
+    a = settle(graph.symmetric(spark.createDataFrame(edges, "src long, dst long, weight double"), sum_parallel=True))
+    need = spark.createDataFrame([(0, 20_000), (1, 20_000), (7, 5)], "node long, count long")
+    share = {}
+    for engine in ("csr", "join"):
+        got = walks.walks(a, need, engine=engine, force_first=True)
+        assert got.count() == 40_005 and got.where("dest is null").count() == 0
+        share[engine] = dense(got.groupBy("source", "dest").agg((F.count("*") / 20_000).alias("value")), 200, j="dest")[:2]
+    assert np.abs(share["csr"] - share["join"]).max() < 0.02
+    low, high = (share[e][0, 1:50].sum() for e in ("csr", "join"))
+    assert abs(low - high) < 0.02
