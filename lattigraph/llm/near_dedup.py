@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from .common import drop, mix64, staged, table
@@ -219,7 +220,7 @@ def _across(left: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -
     return more, more_path, [path, prefix_path]
 
 
-def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module."""
     spark, limit = docs.sparkSession, sketch_limit(percent)
     rows, _ = staged(signatures(docs), "signatures")
@@ -250,21 +251,49 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     named = nodes.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    final, _ = staged(named.join(smallest, "comp").select("key", "component_id"), "components")
+    final, _ = staged(named.join(smallest, "comp").select("key", "comp", "component_id"), "components")
     drop(spark, nodes_path, edges_path, late_path)
     out = rows.select("doc_id", "n_shingles", "key").join(final, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "key", "comp")
+
+
+def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+    return _linked(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of each row's set as ``_key``."""
+    place = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                sets = map(shingle_set, batch.column(place).to_pylist())
+                keys = pa.array([_key(h) if len(h) else None for h in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_key"])
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("_key", LongType())]))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns. Rows without words stay."""
-    found, _ = staged(link(docs, percent), "groups")
+    """The rows of ``docs`` that stay, one of each group, with all their columns. Rows without words stay, one for each
+    id that is not null. Rows whose id is null or repeated are told apart by id and set."""
+    found, _ = staged(_linked(docs, percent), "groups")
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    if not repeated.head(1) and not found.where("doc_id is null and key is not null").head(1):
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    at = F.col("doc_id").cast("long") == F.col("_id")
+    plain = docs.where("doc_id is not null").join(repeated, at, "left_anti").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    nameless = docs.where("doc_id is null")
+    unclear = _keyed(docs.join(repeated, at, "left_semi").unionByName(nameless))
+    groups = found.where("key is not null").select(F.col("key").alias("_key"), F.col("comp").alias("_comp"), F.col("component_id").alias("_named")).distinct()
+    one = unclear.where("_key is not null").dropDuplicates(["doc_id", "_key"]).join(groups, "_key").where("doc_id <=> _named").dropDuplicates(["_comp"])
+    empty = unclear.where("_key is null and doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unclear.where("_key is null and doc_id is null"))
+    return plain.unionByName(one.select(*docs.columns)).unionByName(empty.select(*docs.columns))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,13 @@ def test_deduplicate_keeps_one_of_each_group_and_all_columns(spark):
     assert ids.count(None) == 2
 
 
+def test_deduplicate_tells_repeated_and_null_ids_apart(spark):
+    a, b, c, d = (words(300 + i, 80) for i in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, a), (None, words(400, 80)), (None, words(400, 80)), (None, "")]
+    got = [(r.doc_id, r.text) for r in nd.deduplicate(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (3, c), (3, d), (None, words(400, 80)), (None, "")], key=repr)
+
+
 def test_bands_reach_the_threshold():
     missed = total = 0
     for a, b in zip(variants(50, 150, 400, 6), variants(50, 300, 400, 6)[150:]):
