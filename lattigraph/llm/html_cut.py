@@ -80,6 +80,29 @@ def _own_flags(tag: str, attributes: str, inherited: int) -> int:
     return flags
 
 
+#: What a head may hold; the first other tag, or text, ends a head that is not closed.
+_HEAD = frozenset("title meta link style script base noscript template".split())
+
+
+def _head_end(page: str, pos: int) -> int:
+    """Where the content of a head that is not closed ends."""
+    while True:
+        m = _TOKEN.search(page, pos)
+        if not m or page[pos : m.start()].strip():
+            return pos
+        tag = (m[2] or m[5] or "").lower()
+        closing = bool(m[1] or m[4])
+        if tag and tag not in _HEAD:
+            return m.start()
+        pos = m.end()
+        if tag in ("title", "style", "script", "noscript", "template") and not closing:
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
+            if stop is None:
+                return len(page)
+            pos = stop.end()
+
+
+
 def blocks(page: str | None) -> list[tuple]:
     """The blocks of a page in order: (text, tag, flags, share of linked characters, path of element numbers)."""
     out: list[tuple] = []
@@ -118,8 +141,9 @@ def blocks(page: str | None) -> list[tuple]:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
                 if stop is None and tag == "head":
-                    stop = re.compile(r"(?=<body\b)", re.I).search(page, pos)
-                pos = stop.end() if stop else n
+                    pos = _head_end(page, pos)
+                else:
+                    pos = stop.end() if stop else n
             continue
         if tag == "br":
             parts.append(" ")

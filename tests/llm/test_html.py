@@ -19,6 +19,14 @@ def test_page():
     assert hc.extract(PAGE, W) == "Head & line\nOpen bold. next\nSecond para with link and text.\nItem"
 
 
+def test_a_head_that_is_not_closed():
+    for rest in ("<article><p>text</p></article>", "<body><article><p>text</p></article></body>"):
+        page = '<html><head><title>T</title><meta charset="x"><script>var a="<p>";</script>' + rest
+        assert [b[0] for b in hc.blocks(page)] == ["text"]
+    assert [b[0] for b in hc.blocks("<head><title>T</title>bare <p>text")] == ["bare", "text"]
+    assert hc.blocks("<head><title>lost") == []
+
+
 def test_defined_results(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", "plain text only, with no markup at all in it"), (5, "u", PAGE), (5, "u", PAGE), (None, "u", "<article><p>x &lt;b&gt; &#233;&nbsp;y</p></article>"), (6, "u", "<article><p>kept</p><script>lost for ever"), (7, "u", "<article><p>kept</p><!-- lost"), (8, "u", "<article>" + "<p>word after word</p>" * 20_000 + "</article>"), (9, "u", "<article><p title=\"a>b\">t</p><p x='>\">u</p></article>")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "page_id long, url string, html string, n_chars int, text string")
