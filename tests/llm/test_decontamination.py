@@ -60,12 +60,49 @@ def test_recall_against_brute_force(share):
     assert want > 20 and hit == want
 
 
-def test_lsh_proposes_what_the_exact_search_finds():
-    items, rows = planted(0.2, 77)
+@pytest.mark.parametrize("deletions", [False, True])
+@pytest.mark.parametrize("size", [5, 9, 16, 20, 24, 25, 40, 80, 200, 300])
+def test_recall_at_the_largest_distance(size, deletions):
+    """Every item is planted once with all the edits it may have."""
+    items, hit, want = [(i, words(100 * size + i, size)) for i in range(60)], 0, 0
     index = dc.LeakIndex(items)
+    rows = []
+    for i, text in items:
+        w, k = text.split(), int(0.2 * size)
+        left = " ".join(w[j] for j in sorted(np.random.default_rng(size + i).permutation(size)[k:])) if deletions else edited(text, k, size + i)
+        rows.append(words(7000 + i, 20) + " " + left + " " + words(8000 + i, 20))
+    for (i, text), row, got in zip(items, rows, index.search(rows)):
+        d = dc.fit_distance(text.split(), row.split())[0]
+        if d <= int(0.2 * size):
+            want += 1
+            hit += {g[0]: g[2] for g in got}.get(i) == d
+    assert want > 50 and hit >= 0.99 * want
+
+
+def test_more_walks_for_more_edits():
+    need = [dc.walks_needed(24, k, dc.RECALL, dc.SAMPLED, 11) for k in range(5)]
+    assert need[0] == 1 and need == sorted(need) and need[-1] < dc.MOST_WALKS
+
+
+def test_only_shared_buckets_propose():
+    items, rows = planted(0.2, 5)
+    index = dc.LeakIndex(items, recall=0.3)  # fewer walks: leaks are lost, so buckets decide what is looked at
+    full = dc.LeakIndex(items)
     texts = [t for _, t in rows]
-    a, b = index.search(texts), index.search(texts, lsh=False)
-    assert sum(map(len, a)) >= 0.97 * sum(map(len, b))
+    assert sum(map(len, index.search(texts))) < sum(map(len, full.search(texts)))
+
+
+def test_where_a_leak_lies():
+    item = words(1, 30)
+    [[got]] = dc.LeakIndex([(1, item)]).search([words(2, 50) + " " + item + " " + words(3, 50)])
+    assert got[4:] == (50, 79)
+
+
+def test_blocks_are_held_one_at_a_time(spark):
+    items, rows = planted(0.1)
+    bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
+    got = dc.leaks(frame(spark, rows), bench, block_bytes=800).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted([(i, i) for i, _ in items] + [(0, 0), (1, 1)])
 
 
 @pytest.mark.parametrize("deletions", [False, True])
@@ -80,7 +117,7 @@ def test_no_leak_is_lost_at_any_length(size, deletions):
         rows.append(words(7000 + i, 40) + " " + (" ".join(w) if deletions else edited(text, k, size + i)) + " " + words(8000 + i, 40))
     found = dc.LeakIndex(items).search(rows)
     for (i, text), row, got in zip(items, rows, found):
-        assert {g[0]: g[2] for g in got}[i] == edit_fit(text.split(), row.split()) <= 0.2 * size
+        assert {g[0]: g[2] for g in got}[i] == dc.fit_distance(text.split(), row.split())[0] <= 0.2 * size
 
 
 def test_a_leak_is_reported_once_however_many_windows_it_has():
