@@ -10,14 +10,17 @@ with fewer words the whole sequence; nothing without words. Documents are linked
    whose count lies beyond five standard deviations of what 0.85 gives are not looked at further. A second odd
    sketch holds the whole set: sets differ in at least as many elements as these sketches differ in bits, so
    this bound never refuses a link.
-2. Documents with equal sets are one node. In each bucket every node is paired with the bucket's smallest and
-   largest node only; pairs are confirmed on the full sets of their texts.
-3. Nodes in buckets that still hold several components are compared across components: prefix filtering on
-   their full sets proposes every pair that can reach 0.85, and these are confirmed as well. Pairs inside a component
-   cannot change the result, so nothing is lost and no group is expanded into all its pairs.
-4. Components come from alternating star steps; every intermediate is a written table.
-
-Sets are compared by 64-bit hashes of shingles.
+2. Documents with equal sets (equal 128-bit hashes of all their elements) are one node. In each bucket every node is paired
+   with the bucket's smallest and largest node only; pairs are confirmed on the full sets of their texts. A node that many pairs
+   share (a hub) is dealt over blocks of ``BLOCK`` pairs, and its text goes to each block once.
+3. That compares all pairs in buckets of up to three nodes. Nodes in larger buckets that still hold several components
+   are compared across components: prefix filtering on their full sets proposes every pair that can reach
+   0.85, and these are confirmed as well. Pairs inside a component cannot change the result, so nothing is lost and no
+   group is expanded into all its pairs.
+4. Components come from alternating star steps; later links join the components found before. Every intermediate is a
+   written table, removed when nothing reads it any more.
+
+Shingles are compared by 64-bit hashes.
 
 Defined results: null and empty texts have ``n_shingles`` 0 and their own component; equal rows with one id
 share its result; a row with a null id is linked with equal sets only, and is kept only if its component has
@@ -27,6 +30,7 @@ of each group.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import drop, mix64, staged, table
+from .common import drop, fresh, mix64, staged, table
 from .components import components
 
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS, SAMPLES = 25, 5, 128
 BITS = 512
+#: Pairs of one hub that share its text, and parts over which a bucket is dealt where its ends are joined to its nodes.
+BLOCK, PARTS = 512, 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xDA942042E4DD58B5)) | np.uint64(1)
@@ -109,13 +115,15 @@ _WHOLE = [f"p{i}" for i in range(BITS // 64)]
 _BANDS = [f"b{i}" for i in range(BANDS)]
 
 
-def _key(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+def _key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    return struct.unpack("<qq", xxh3_128_digest(hashes.tobytes()))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, b0.., s0.., p0..): key names the set and is null for an empty one; bands, the odd sketch of the
-    samples and that of the whole set."""
+    """(doc_id, n_shingles, k1, k2, b0.., s0.., p0..): k1 and k2 name the set and are null for an empty one; bands, the odd
+    sketch of the samples and that of the whole set."""
+    names = ["doc_id", "n_shingles", "k1", "k2", *_BANDS, *_LOWS, *_WHOLE]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.int64()
@@ -126,13 +134,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     h = shingle_set(text)
                     n.append(len(h))
-                    keys.append(_key(h) if len(h) else None)
+                    keys.append(_key(h) if len(h) else (None, None))
                     if len(h):
                         samples = minhash(h)
                         rest[i] = np.concatenate([band_keys(samples), odd_sketch(samples), parity(h)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, kinds), pa.array(keys, kinds), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["doc_id", "n_shingles", "key", *_BANDS, *_LOWS, *_WHOLE])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, kinds), *(pa.array([k[i] for k in keys], kinds) for i in (0, 1)), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, ", ".join(f"{c} long" for c in ["doc_id", "n_shingles", "key", *_BANDS, *_LOWS, *_WHOLE]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 def _close(a: str, b: str, limit: int):
@@ -154,44 +162,55 @@ def _may_link(a: str, b: str, percent: int):
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, text) of one document for each of the ``wanted`` (key, doc_id)."""
+    """(key, text) of one document for each of the ``wanted`` (key, doc_id, k1, k2)."""
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # several rows of one id may hold the set: a task passes one on
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                ok = [_key(shingle_set(t)) == k for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist())]
-                yield some.filter(pa.array(ok, pa.bool_()))
+                ok = []
+                for key, text, k1, k2 in zip(*(c.to_pylist() for c in some.columns)):
+                    ok.append(key not in seen and _key(shingle_set(text)) == (k1, k2))
+                    if ok[-1]:
+                        seen.add(key)
+                yield some.select(["key", "text"]).filter(pa.array(ok, pa.bool_()))
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(wanted, "doc_id").select("key", "text").mapInArrow(same, "key long, text string")
+    return text.join(wanted, "doc_id").select("key", "text", "k1", "k2").mapInArrow(same, "key long, text string")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """Of the pairs (hub, other) those whose full sets are similar enough, as (a, b). A hub's pairs are dealt over blocks; its
+    text comes once to each, before the others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        hub, own = None, None
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ok = []
-                for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                    if len(kept) > 2000:
-                        kept.clear()
-                    x = kept[a] if a in kept else kept.setdefault(a, shingle_set(ta))
-                    y = kept[b] if b in kept else kept.setdefault(b, shingle_set(tb))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+                a, b = [], []
+                for key, other, text in zip(*(whole.column(i).slice(at, 512).to_pylist() for i in range(3))):
+                    x = shingle_set(text)
+                    if other is None:
+                        hub, own = key, x
+                    elif hub == key:
+                        both = len(np.intersect1d(own, x, assume_unique=True))
+                        if 100 * both >= percent * (len(own) + len(x) - both):
+                            a.append(min(key, other))
+                            b.append(max(key, other))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    blocks = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other")
+    first = blocks.join(texts.select(F.col("key").alias("hub"), "text"), "hub").select("hub", F.lit(None).cast("long").alias("other"), "text", "part")
+    rest = dealt.join(texts.select(F.col("key").alias("other"), "text"), "other").select("hub", "other", "text", "part")
+    routed = first.unionByName(rest).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("other").asc_nulls_first())
+    return routed.select("hub", "other", "text").mapInArrow(work, "a long, b long").distinct()
 
 
 def _across(left: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, str, list[str]]:
-    """Pairs across components among the nodes ``left`` (key, comp, inner, n, p0..), by prefix filtering: a set has
+    """Pairs (hub, other) across components among the nodes ``left`` (key, comp, inner, n, p0..), by prefix filtering: a set has
     ceil(percent * n) / 100 elements or more in common with any partner, so partners share one of its first
     n - that + 1 elements in an order from rare to frequent; elements of one set alone come first and count for nothing. ``inner`` nodes belong to the largest component of all
     their buckets, and two of them in different components share no bucket."""
@@ -204,7 +223,7 @@ def _across(left: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -
                 row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(4)), pa.array(np.concatenate(sets).view(np.int64))], ["key", "comp", "inner", "n", "element"])
 
-    elements, path = staged(left.join(texts, "key").select("key", "comp", "inner", "n", "text").mapInArrow(explode, "key long, comp long, inner boolean, n long, element long"), "elements")
+    elements, path = staged(left.join(texts.dropDuplicates(["key"]), "key").select("key", "comp", "inner", "n", "text").mapInArrow(explode, "key long, comp long, inner boolean, n long, element long"), "elements")
     often = elements.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
     by_rarity = Window.partitionBy("key").orderBy("df", "element")
     need = F.floor((percent * F.col("n") + 99) / 100)
@@ -216,46 +235,65 @@ def _across(left: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -
     bound = 1 + F.least(F.col("x.common") - F.col("x.rank"), F.col("y.common") - F.col("y.rank"))
     fits &= (100 + percent) * bound >= percent * (F.col("x.n") + F.col("y.n"))
     met = x.join(y, (F.col("x.element") == F.col("y.element")) & fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    more, more_path = staged(met.join(known, ["a", "b"], "left_anti"), "pairs")
+    more, more_path = staged(met.join(known, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("other")), "pairs")
     return more, more_path, [path, prefix_path]
 
 
+def _joined(comps: DataFrame, late: DataFrame) -> DataFrame:
+    """The components (key, comp) after the links ``late`` (a, b): only the components that these join are looked at."""
+    x, y = comps.alias("x"), comps.alias("y")
+    ends = late.join(x, F.col("a") == F.col("x.key"), "left").join(y, F.col("b") == F.col("y.key"), "left")
+    merged = components(ends.select(F.coalesce("x.comp", "a").alias("a"), F.coalesce("y.comp", "b").alias("b")))
+    up = merged.select(F.col("key").alias("_from"), F.col("comp").alias("_to"))
+    moved = comps.join(up, F.col("comp") == F.col("_from"), "left").select("key", F.coalesce("_to", "comp").alias("comp"))
+    return moved.unionByName(merged)  # what these join are roots, and a root is no key
+
+
 def _linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module."""
+    """(doc_id, n_shingles, component_id, kept, k1, k2, comp) for every row of ``docs``; see the module."""
     spark, limit = docs.sparkSession, sketch_limit(percent)
     rows, _ = staged(signatures(docs), "signatures")
-    nodes, nodes_path = staged(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in [*_BANDS, *_LOWS, *_WHOLE])), "nodes")
+    sets = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in [*_BANDS, *_LOWS, *_WHOLE]))
+    # a written row keeps its number
+    nodes, nodes_path = staged(sets.withColumn("key", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("key", F.explode(F.array(*_BANDS)).alias("bucket"))
-    buckets, buckets_path = staged(members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "buckets")
-    shared, shared_path = staged(members.join(buckets, "bucket"), "members")
+    buckets, buckets_path = staged(members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("size")).where("lo < hi"), "buckets")
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    shared, shared_path = staged(members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(buckets.withColumn("part", part), ["bucket", "part"]).drop("part"), "members")
 
     sketch = nodes.select("key", "n", *_LOWS, *_WHOLE)
-    star = shared.select(F.col("lo").alias("a"), F.col("key").alias("b")).unionByName(shared.select(F.col("key").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
+    star = shared.select(F.col("lo").alias("hub"), F.col("key").alias("other")).unionByName(shared.select(F.col("hi").alias("hub"), F.col("key").alias("other"))).where("hub <> other")
+    star = star.groupBy(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")).agg(F.min("hub").alias("hub"))
     likely = star.join(sketch.alias("x"), F.col("a") == F.col("x.key")).join(sketch.alias("y"), (F.col("b") == F.col("y.key")) & _close("x", "y", limit) & _may_link("x", "y", percent))
-    pairs, pairs_path = staged(likely.select("a", "b"), "pairs")
-    ids = nodes.select("key", "doc_id").join(shared.select("key").distinct(), "key", "left_semi")
-    texts, texts_path = staged(_texts(docs, ids), "texts")
-    edges, edges_path = staged(_confirmed(pairs, texts, percent), "links")
+    pairs, pairs_path = staged(likely.select("a", "b", "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other")), "pairs")
+    open_buckets = shared.where("size > 3")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(open_buckets.select("key")).distinct()
+    texts, texts_path = staged(_texts(docs, nodes.select("key", "doc_id", "k1", "k2").join(ids, "key", "left_semi")), "texts")
+    edges, edges_path = staged(_confirmed(pairs.select("hub", "other"), texts, percent), "links")
     comps = components(edges)
 
-    # nodes of one bucket in several components: all that is left to compare
-    placed = shared.select("bucket", "key").join(comps, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
+    # nodes of one larger bucket in several components: all that is left to compare
+    placed = open_buckets.select("bucket", "key").join(comps, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
     counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     largest = counts.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("largest")).where("comps > 1")
-    left = placed.join(largest, "bucket").groupBy("key").agg(F.min("comp").alias("comp"), F.min(F.col("comp") == F.col("largest")).alias("inner"))
-    more, more_path, left_paths = _across(left.join(nodes.select("key", "n", *_WHOLE), "key"), texts, pairs, percent)
-    late, late_path = staged(_confirmed(more, texts, percent), "links")
-    if late.head(1):
-        comps = components(edges.unionByName(late))
-    drop(spark, buckets_path, shared_path, pairs_path, texts_path, more_path, *left_paths)
-
-    named = nodes.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
+    salted = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(largest.withColumn("part", part), ["bucket", "part"])
+    left, left_path = staged(salted.groupBy("key").agg(F.min("comp").alias("comp"), F.min(F.col("comp") == F.col("largest")).alias("inner")).join(nodes.select("key", "n", *_WHOLE), "key"), "left")
+    drop(spark, buckets_path, shared_path)
+    if left.head(1):
+        more, more_path, left_paths = _across(left, texts, pairs.select("a", "b"), percent)
+        late, late_path = staged(_confirmed(more, texts, percent), "links")
+        if late.head(1):
+            comps = staged(_joined(comps, late), "components")[0]
+        drop(spark, more_path, late_path, *left_paths)
+    drop(spark, pairs_path, texts_path, left_path, edges_path)
+
+    named = nodes.select("k1", "k2", "key", "doc_id").join(comps, "key", "left").select("k1", "k2", "doc_id", F.coalesce("comp", "key").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    final, _ = staged(named.join(smallest, "comp").select("key", "comp", "component_id"), "components")
-    drop(spark, nodes_path, edges_path, late_path)
-    out = rows.select("doc_id", "n_shingles", "key").join(final, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "key", "comp")
+    final, _ = staged(named.join(smallest, "comp").select("k1", "k2", "comp", "component_id"), "components")
+    drop(spark, nodes_path)
+    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2"], "left")
+    component = F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "k1", "k2", "comp")
 
 
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -263,8 +301,8 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _linked(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key of each row's set as ``_key``."""
+def _keyed(docs: DataFrame, k1: str, k2: str) -> DataFrame:
+    """``docs`` with the name of each row's set as two more columns."""
     place = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,27 +310,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 sets = map(shingle_set, batch.column(place).to_pylist())
-                keys = pa.array([_key(h) if len(h) else None for h in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_key"])
+                keys = [_key(h) if len(h) else (None, None) for h in sets]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*batch.schema.names, k1, k2])
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(k1, LongType()), StructField(k2, LongType())]))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns. Rows without words stay, one for each
-    id that is not null. Rows whose id is null or repeated are told apart by id and set."""
+    id that is not null, all those whose id is null. Rows whose id is null or repeated are told apart by id and set."""
     found, _ = staged(_linked(docs, percent), "groups")
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    if not repeated.head(1) and not found.where("doc_id is null and key is not null").head(1):
-        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    at = F.col("doc_id").cast("long") == F.col("_id")
-    plain = docs.where("doc_id is not null").join(repeated, at, "left_anti").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    nameless = docs.where("doc_id is null")
-    unclear = _keyed(docs.join(repeated, at, "left_semi").unionByName(nameless))
-    groups = found.where("key is not null").select(F.col("key").alias("_key"), F.col("comp").alias("_comp"), F.col("component_id").alias("_named")).distinct()
-    one = unclear.where("_key is not null").dropDuplicates(["doc_id", "_key"]).join(groups, "_key").where("doc_id <=> _named").dropDuplicates(["_comp"])
-    empty = unclear.where("_key is null and doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unclear.where("_key is null and doc_id is null"))
+    a, b, c, d, e, g = fresh(docs, "gone", "again", "k1", "k2", "comp", "named")
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(a)).distinct()
+    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(b)).count().where("count > 1").select(b)
+    is_gone, is_again = F.col("doc_id").cast("long") == F.col(a), F.col("doc_id").cast("long") == F.col(b)
+    if not repeated.head(1) and not found.where("doc_id is null and k1 is not null").head(1):
+        return docs.join(gone, is_gone, "left_anti")
+    plain = docs.where("doc_id is not null").join(repeated, is_again, "left_anti").join(gone, is_gone, "left_anti")
+    unclear = _keyed(docs.join(repeated, is_again, "left_semi").unionByName(docs.where("doc_id is null")), c, d)
+    groups = found.where("k1 is not null").select(F.col("k1").alias(c), F.col("k2").alias(d), F.col("comp").alias(e), F.col("component_id").alias(g)).distinct()
+    one = unclear.where(F.col(c).isNotNull()).dropDuplicates(["doc_id", c, d]).join(groups, [c, d]).where(F.col("doc_id").cast("long").eqNullSafe(F.col(g))).dropDuplicates([e])
+    empty = unclear.where(F.col(c).isNull())
+    empty = empty.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(empty.where("doc_id is null"))
     return plain.unionByName(one.select(*docs.columns)).unionByName(empty.select(*docs.columns))
 
 

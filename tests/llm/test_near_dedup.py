@@ -84,6 +84,42 @@ def test_deduplicate_tells_repeated_and_null_ids_apart(spark):
     assert sorted(got, key=repr) == sorted([(1, a), (2, b), (3, c), (3, d), (None, words(400, 80)), (None, "")], key=repr)
 
 
+def test_deduplicate_loses_no_group_where_ids_are_repeated(spark):
+    """The smallest id of a group may be that of another text, too."""
+    b = words(900, 146)
+    rows = [(1, words(901, 146)), (2, words(901, 146)), (2, b), (3, variants(900, 2)[1]), (4, words(902, 90)), (4, words(903, 90))]
+    rows[3] = (3, b + " tail")
+    got = sorted((r.doc_id, r.text) for r in nd.deduplicate(frame(spark, rows)).collect())
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5]])
+
+
+def test_deduplicate_takes_columns_of_any_name(spark):
+    df = frame(spark, [(1, words(5, 50)), (2, words(5, 50)), (2, words(6, 50))])
+    for name in ("gone", "again", "k1", "k2", "comp", "named", "hub"):
+        df = df.withColumnRenamed("part", name).withColumn("part", df["row"]) if name == "gone" else df.withColumn(name, df["row"])
+    out = nd.deduplicate(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, words(5, 50)), (2, words(6, 50))])
+
+
+def test_a_hub_of_many_near_copies(spark):
+    """Thousands of texts near one: their pairs are dealt over blocks."""
+    base, same = words(40, 200).split(), words(41, 90)
+    rows = [(i, " ".join([*base[:-1], f"last{i}"])) for i in range(3000)] + [(5000 + i, same) for i in range(3000)]
+    got = nd.link(frame(spark, rows)).groupBy("component_id").count().collect()
+    assert {(r.component_id, r["count"]) for r in got} == {(0, 3000), (5000, 3000)}
+
+
+def test_equal_short_keys_are_told_apart(spark):
+    whole = nd._key(nd.shingle_set("one two three"))
+    assert len(whole) == 2 and whole[0] != whole[1]
+
+
+def test_components_after_late_links(spark):
+    comps = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (7, 6)], "key long, comp long")
+    late = spark.createDataFrame([(3, 5), (8, 7), (9, 10)], "a long, b long")
+    assert dict(nd._joined(comps, late).collect()) == {2: 1, 3: 1, 5: 1, 4: 1, 7: 6, 8: 6, 10: 9}
+
+
 def test_bands_reach_the_threshold():
     missed = total = 0
     for a, b in zip(variants(50, 150, 400, 6), variants(50, 300, 400, 6)[150:]):
