@@ -1,14 +1,20 @@
 """HTML extraction (operator 10): minimum-cut labelling.
 
-A page is cut into blocks of text at block-level tags. A linear classifier gives each block log-odds of being
-main text; these become the capacities to the two terminals. Neighbouring blocks, and the following block with
-the same parent, are joined by smoothness edges that weaken with their distance in the document tree. A maximum flow
-separates main text from boilerplate: the cut with the least sum of classifier and smoothness costs. Blocks whose own capacity exceeds
-all their edges keep their label in every minimum cut, so they are settled first; the flow runs on the rest.
-
-The classifier's weights start from the table ``PRIOR`` and are fitted, with a ridge that pulls to it, on weakly
-labelled blocks (inside an article or main element, or inside nav, footer, aside and the like) of a bounded,
-documented sample of pages; all pages are then labelled.
+A page is cut into blocks of text at block-level tags. Every block gets log-odds of being main text, which become the
+capacities to the two terminals:
+
+* what a linear classifier says of its text and place: length, share of links, of letters and digits and of separators, how it ends, its
+  tag, whether it comes first or last. The classifier knows nothing of containers. It is fitted, with a ridge that
+  pulls to the table ``TEXT``, on blocks that lie inside elements with a meaning of their own (article and main against nav,
+  footer, aside, form and the like) of a bounded, documented sample of pages: containers give the labels and are no features;
+* what its containers say (``EVIDENCE``): semantic elements much, class, id and role names less. A name counts in full
+  only if most of its parts are such words and it stands on a container; on a paragraph, or in a name like ``ad-hoc``, it is a weak hint.
+
+Neighbouring blocks, and following blocks with the same parent, are joined by smoothness edges that weaken with their distance
+in the document tree and are strong between neighbours of one kind, and between a heading and what follows it. A maximum flow separates main text from boilerplate: the
+cut with the least sum of classifier and smoothness costs. A short line between paragraphs thus stays, a paragraph-like line among
+links goes. Blocks whose own capacity exceeds all their edges keep their label in every minimum cut, so they are
+settled first; the flow runs on the rest.
 
 Defined results: null html is empty; scripts, styles, comments and the head hold no text; an unclosed script, style or comment
 hides the rest of its page; ``<br>`` is white space; a page without main text has the text ``""``; repeated rows
@@ -31,7 +37,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE = 1_000
-SMOOTHNESS, SIBLINGS = 1.0, 0.5
+#: Edges: between neighbours, over one more than their distance in the tree; between following children of one parent, of one
+#: kind and of several.
+SMOOTHNESS, ALIKE, SIBLINGS = 1.0, 2.0, 0.5
+#: No block outweighs the page by more.
+MOST = 6.0
 
 # Fixed values of HTML.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -51,32 +61,61 @@ HINTS = {
     "comments": ("comment", "comments", "disqus", "replies", "reply", "respond"),
     "form": ("form", "login", "signup", "search"),
 }
-#: Log-odds before any fitting, by feature.
-PRIOR = {
-    "bias": -0.5, "article": 4.0, "content": 1.5, "menu": -8.0, "header": -7.0, "footer": -8.0, "aside": -7.0,
-    "advert": -8.0, "notice": -8.0, "comments": -9.0, "form": -8.0, "links": -3.0, "length": 0.5, "heading": 0.5, "paragraph": 0.5, "item": -0.3,
-}
-NAMES = list(PRIOR)
-_FLAGS = {name: 1 << i for i, name in enumerate(NAMES[1:11])}
-_NEGATIVE = sum(v for k, v in _FLAGS.items() if k not in ("article", "content"))
-_WORDS = {w: _FLAGS[k] for k, words in HINTS.items() for w in words}
+#: Parts of names that say nothing themselves.
+NEUTRAL = frozenset("site page box wrapper wrap container block area section inner outer left right top bottom global list item items bar primary secondary the id js col row group body text links link large small unit slot".split())
+#: Log-odds that a container's kind adds. ``hint``: each of the weak hints.
+EVIDENCE = {"article": 2.0, "content": 1.2, "menu": -5.0, "header": -4.0, "footer": -5.0, "aside": -4.5, "advert": -5.0, "notice": -4.5, "comments": -6.0, "form": -5.0, "hint": -1.0}
+#: The classifier's log-odds before any fitting, by feature.
+TEXT = {"bias": -2.4, "length": 0.7, "links": -4.0, "letters": 1.0, "marks": -4.0, "sentence": 0.8, "heading": 1.2, "paragraph": 1.2, "item": -0.3, "ends": -0.8}
+NAMES = list(TEXT)
+_FLAGS = {name: 1 << i for i, name in enumerate(EVIDENCE)}
+_GOOD = _FLAGS["article"]
+#: Families that a name keeps even if it also speaks of content, and those that count in full on a paragraph.
+_FIRM = ("menu", "aside", "advert", "comments")
+_OWN = ("advert", "comments")
+_WORDS = {w: k for k, words in HINTS.items() for w in words}
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption address summary".split())
+_SECTIONS = {"article": 1, "main": 1, "nav": -1, "menu": -1, "footer": -1, "aside": -1, "form": -1, "fieldset": -1, "dialog": -1, "header": -1}
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+#: What separates entries of menus and stands in front of notices.
+_MARKS = re.compile(r"[|\u00b7\u2022\u00a9\u00ae\u00bb\u00ab\u203a\u2039\u2192]")
+
+
+def _named(name: str, textual: bool) -> int:
+    """What one class, id or role name says."""
+    parts = [w for w in _SPLIT.split(name.lower()) if w]
+    kinds = {_WORDS[w] for w in parts if w in _WORDS}
+    if not kinds:
+        return 0
+    unknown = sum(w not in _WORDS and w not in NEUTRAL for w in parts)
+    firm = len(parts) > 2 * unknown
+    if "content" in kinds:
+        kinds &= {"content", *_FIRM}
+        if len(kinds) > 1:
+            kinds.discard("content")
+    flags = 0
+    for kind in kinds:
+        if kind == "content":
+            flags |= _FLAGS[kind] if firm and not textual else 0
+        else:
+            flags |= _FLAGS[kind] if firm and (not textual or kind in _OWN) else _FLAGS["hint"]
+    return flags
 
 
 def _own_flags(tag: str, attributes: str, inherited: int) -> int:
+    if tag in ("body", "html"):  # their names describe the whole page
+        return 0
     flags = _FLAGS.get(TAGS.get(tag, ""), 0)
-    if tag == "header" and not inherited & _FLAGS["article"]:
+    if tag == "header" and not inherited & _GOOD:
         flags |= _FLAGS["header"]
     if attributes:
         for value in _ATTRIBUTE.findall(attributes):
-            for word in _SPLIT.split(value.lower()):
-                flags |= _WORDS.get(word, 0)
-    if tag in ("body", "html"):  # their classes describe the whole page
-        return 0
-    if tag == "article":
-        flags &= ~_FLAGS["header"]
+            for name in value.strip("\"'").split():
+                flags |= _named(name, tag in _TEXTUAL)
+    if tag in ("article", "main"):
+        flags &= _GOOD | _FLAGS["content"] | _FLAGS["comments"] | _FLAGS["advert"]
     return flags
 
 
@@ -104,11 +143,12 @@ def _head_end(page: str, pos: int) -> int:
 
 
 def blocks(page: str | None) -> list[tuple]:
-    """The blocks of a page in order: (text, tag, flags, share of linked characters, path of element numbers)."""
+    """The blocks of a page in order: (text, tag, flags, share of linked characters, path of element numbers, whether semantic
+    elements make it main text: 1, 0, -1)."""
     out: list[tuple] = []
     if not page:
         return out
-    stack: list[tuple[str, int, int]] = []  # tag, number, flags
+    stack: list[tuple[str, int, int, int]] = []  # tag, number, flags, what its semantic elements say of it
     parts: list[str] = []
     linked = depth_a = number = 0
     pos, n = 0, len(page)
@@ -118,8 +158,8 @@ def blocks(page: str | None) -> list[tuple]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                tag, _, flags = stack[-1] if stack else ("", 0, 0)
-                out.append((text, tag, flags, min(1.0, linked / max(1, sum(map(len, parts)))), tuple(e[1] for e in stack)))
+                tag, _, flags, _ = stack[-1] if stack else ("", 0, 0, 0)
+                out.append((text, tag, flags, min(1.0, linked / max(1, sum(map(len, parts)))), tuple(e[1] for e in stack), stack[-1][3] if stack else 0))
             parts = []
         linked = 0
 
@@ -163,33 +203,63 @@ def blocks(page: str | None) -> list[tuple]:
                 while stack and stack[-1][0] in SELF_CLOSING.get(tag, ()):
                     stack.pop()
                 number += 1
-                inherited = stack[-1][2] if stack else 0
-                stack.append((tag, number, inherited | _own_flags(tag, m[3] or m[6], inherited)))
+                inherited, section = stack[-1][2:] if stack else (0, 0)
+                section = -1 if section < 0 else section if section > 0 and tag == "header" else _SECTIONS.get(tag, section)
+                stack.append((tag, number, inherited | _own_flags(tag, m[3] or m[6], inherited), section))
     close()
     return out
 
 
 def vectors(page_blocks: list[tuple]) -> np.ndarray:
-    """The features of blocks, in the order of ``NAMES``."""
+    """The features of blocks, in the order of ``NAMES``; none comes from a container."""
     x = np.zeros((len(page_blocks), len(NAMES)))
-    for row, (text, tag, flags, links, _) in zip(x, page_blocks):
-        row[0] = 1
-        for i in range(10):
-            row[1 + i] = flags >> i & 1
-        row[11:] = links, math.log1p(text.count(" ") + 1), tag[:1] == "h" and tag[1:].isdigit(), tag == "p", tag == "li"
+    last = len(page_blocks) - 1
+    for i, (row, (text, tag, _, links, _, _)) in enumerate(zip(x, page_blocks)):
+        letters = sum(map(str.isalnum, text))
+        marks = len(_MARKS.findall(text))
+        row[:] = (
+            1,
+            math.log1p(text.count(" ") + 1),
+            links,
+            letters / len(text),
+            min(1.0, 4 * marks / len(text)),
+            text[-1] in ".!?:;\"\u201d\u00bb\u2026\u3002",
+            _heading(tag),
+            tag == "p",
+            tag == "li",
+            last > 1 and i in (0, last),
+        )
     return x
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 300, rate: float = 0.5) -> np.ndarray:
-    """Logistic regression whose ridge pulls to ``PRIOR``."""
-    prior = np.array(list(PRIOR.values()))
+def evidence(flags: int) -> float:
+    """The log-odds that containers add: the strongest of what speaks against main text, else of what speaks for it."""
+    have = [v for k, v in EVIDENCE.items() if flags & _FLAGS[k]]
+    against = min(have, default=0.0)
+    hint = EVIDENCE["hint"]
+    return against if against < hint else max(0.0, max(have, default=0.0)) + (hint if against == hint else 0.0)
+
+
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, ridge: float = 0.02, steps: int = 400, rate: float = 0.5) -> np.ndarray:
+    """Logistic regression on rows that stand for ``times`` rows each; both labels weigh the same, and its ridge pulls to ``TEXT``."""
+    prior = np.array(list(TEXT.values()))
     w = prior.copy()
-    for _ in range(steps if len(y) else 0):
+    times = np.ones(len(y)) if times is None else times.astype(float)
+    if not len(y) or y.min() == y.max():
+        return w
+    share = times / np.where(y > 0.5, times[y > 0.5].sum(), times[y < 0.5].sum()) / 2
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= rate * (x.T @ (p - y) / len(y) + ridge * (w - prior)) / (1 + ridge)
+        w -= rate * (x.T @ (share * (p - y)) + ridge * (w - prior)) / (1 + ridge)
     return w
 
 
+def odds(page_blocks: list[tuple], weights: np.ndarray) -> list[float]:
+    """Each block's log-odds of being main text, from its text and from its containers."""
+    held = [evidence(b[2]) for b in page_blocks]
+    return np.clip(vectors(page_blocks) @ weights + held, -MOST, MOST).tolist()
+
+
 def min_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """The side of each node in a minimum cut: True where the source (main text) is. ``odds``: capacity to the
     source less that to the sink; ``edges``: symmetric capacities."""
@@ -240,6 +310,10 @@ def min_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool
     return [s if s is not None else v in parent for v, s in enumerate(side)]
 
 
+def _heading(tag: str) -> bool:
+    return tag[:1] == "h" and tag[1:].isdigit()
+
+
 def smoothness(page_blocks: list[tuple]) -> dict[tuple[int, int], float]:
     """Edges between neighbours in the page and between following blocks of one parent."""
     edges: dict[tuple[int, int], float] = {}
@@ -254,22 +328,27 @@ def smoothness(page_blocks: list[tuple]) -> dict[tuple[int, int], float]:
                     break
                 common += 1
             edges[i - 1, i] = SMOOTHNESS / (1 + len(before) + len(path) - 2 * common)
+            if _heading(page_blocks[i - 1][1]) and not _heading(b[1]):
+                edges[i - 1, i] += ALIKE
         parent = path[:-1]
-        if parent in last and last[parent] != i - 1:
-            edges[last[parent], i] = edges.get((last[parent], i), 0) + SIBLINGS
-        elif parent in last:
-            edges[i - 1, i] += SIBLINGS
+        if parent in last:
+            j = last[parent]
+            a = page_blocks[j]
+            firm = ~_FLAGS["hint"]
+            edges[j, i] = edges.get((j, i), 0) + (ALIKE if a[1] == b[1] and a[2] & firm == b[2] & firm else SIBLINGS)
         last[parent] = i
     return edges
 
 
+def labels(page_blocks: list[tuple], weights: np.ndarray) -> list[bool]:
+    """Which blocks are main text."""
+    return min_cut(odds(page_blocks, weights), smoothness(page_blocks)) if page_blocks else []
+
+
 def extract(page: str | None, weights: np.ndarray) -> str:
     """The main text of a page."""
     found = blocks(page)
-    if not found:
-        return ""
-    kept = min_cut((vectors(found) @ weights).tolist(), smoothness(found))
-    return "\n".join(b[0] for b, k in zip(found, kept) if k)
+    return "\n".join(b[0] for b, k in zip(found, labels(found, weights)) if k)
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -282,9 +361,8 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             for page in batch.column(0).to_pylist():
                 found = blocks(page)
                 for b, x in zip(found, vectors(found)):
-                    good, bad = b[2] & _FLAGS["article"], b[2] & _NEGATIVE
-                    if good or bad:
-                        key = (*(round(float(v), 1) for v in x), float(not bad))
+                    if b[5]:
+                        key = (*(round(float(v), 1) for v in x), float(b[5] > 0))
                         total[key] = total.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in total], pa.list_(pa.float64())), pa.array(list(total.values()), pa.int64())], ["x", "n"])
 
@@ -293,8 +371,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     if not rows:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     data, times = np.array([r.x for r in rows]), np.array([r.n for r in rows])
-    pick = np.repeat(np.arange(len(data)), times)
-    return fit(data[pick, :-1], data[pick, -1])
+    return fit(data[:, :-1], data[:, -1], times)
 
 
 def extract_all(pages: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -1,12 +1,14 @@
 import itertools
+import os
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattigraph.llm import html_cut as hc
 
-W = np.array(list(hc.PRIOR.values()))
+W = np.array(list(hc.TEXT.values()))
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";track(0);</script></head><body class="single post">
 <header><a href="/">Site</a></header><nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav>
 <div class="ad">Buy now, cheap and good and new.</div><div class="cookie-notice">We use cookies on this page.</div>
@@ -51,6 +53,84 @@ def test_cut_is_minimal(odds, data):
     assert cost(hc.min_cut(odds, edges)) <= best + 1e-6
 
 
+P = "The committee met on Tuesday and agreed that the bridge should be repaired before winter, as reported."
+Q = "Costs were not disclosed. Residents have asked for a second hearing, and the mayor has promised one soon."
+# Pages and their main text, by hand.
+HAND = {
+    'post-header':(f'<div class="post"><div class="post-header"><h1>The bridge</h1></div><p>{P}</p><p>{Q}</p></div>',f'The bridge\n{P}\n{Q}'),
+    'ad-hoc':(f'<article><h1>T</h1><p class="ad-hoc">An ad-hoc group formed.</p><p>{Q}</p></article>',f'T\nAn ad-hoc group formed.\n{Q}'),
+    'notice':(f'<article><p>{P}</p><p class="notice">Take notice of the road works.</p><p>{Q}</p></article>',f'{P}\nTake notice of the road works.\n{Q}'),
+    'table':(f'<article><p>{P}</p><div class="search-results-table"><table><tr><td>Year</td><td>Cost</td></tr><tr><td>1990</td><td>12 million</td></tr></table></div><p>{Q}</p></article>',f'{P}\nYear\nCost\n1990\n12 million\n{Q}'),
+    'footer':(f'<body><div><h1>The bridge</h1><p>{P}</p><p>{Q}</p></div><div>Copyright 2024 Example Media Group. All rights reserved. Terms of use and privacy policy apply here</div></body>',f'The bridge\n{P}\n{Q}'),
+    'classfree':(f'<body><div><ul><li><a href=x>Home</a></li><li><a href=x>News</a></li><li><a href=x>Sport</a></li></ul></div><div><h1>The bridge</h1><p>{P}</p><p>Yes.</p><p>{Q}</p></div><div><h3>More</h3><ul><li><a href=1>One more story</a></li><li><a href=2>Another story</a></li></ul></div><div>&copy; 2024 Example &middot; Imprint</div></body>',f'The bridge\n{P}\nYes.\n{Q}'),
+    'comments':(f'<article><p>{P}</p><div class="post-comments"><p>{Q}</p><p>I agree with all that was said here, and more.</p></div></article>',P),
+    'aside in article':(f'<article><p>{P}</p><aside><p>{Q}</p></aside><p>{Q}</p></article>',f'{P}\n{Q}'),
+    'ad between':(f'<article><p>{P}</p><div class="ad">Buy one, get one free, this week only.</div><p>{Q}</p></article>',f'{P}\n{Q}'),
+    'cookie':(f'<div id="cookie-banner"><p>We use cookies to give you the best experience on our site, as the law demands.</p><button>OK</button></div><main><h2>T</h2><p>{P}</p></main>',f'T\n{P}'),
+    'lists':(f'<article><p>{P}</p><ul><li>Bread</li><li>Milk</li><li>Two eggs</li></ul><p>{Q}</p></article>',f'{P}\nBread\nMilk\nTwo eggs\n{Q}'),
+    'links in text':(f'<article><p>{P}</p><p><a href=1>Read the whole report of the committee</a></p><p>{Q}</p></article>',f'{P}\nRead the whole report of the committee\n{Q}'),
+    'entity':('<article><p>x &lt;b&gt; &#233;&nbsp;y</p></article>','x <b> é y'),
+    'no markup':('plain text only, with no markup at all in it','plain text only, with no markup at all in it'),
+    'sidebar':(f'<div class="content"><p>{P}</p><p>{Q}</p></div><div class="sidebar"><p>{P}</p></div>',f'{P}\n{Q}'),
+    'form':(f'<main><p>{P}</p><form><label>Your name</label><p>{Q}</p></form></main>',P),
+    'header':(f'<header><h1>Example Times</h1></header><article><header><h1>The bridge</h1><p>By A. Writer</p></header><p>{P}</p></article>',f'The bridge\nBy A. Writer\n{P}'),
+    'br':(f'<article><p>one<br>two</p><blockquote>Quoted words.</blockquote><pre>code = 1</pre></article>','one two\nQuoted words.\ncode = 1'),
+    'breadcrumb':(f'<div class="breadcrumbs"><a href=1>Home</a> &raquo; <a href=2>News</a></div><div class="entry-content"><p>{P}</p></div><div class="related-posts"><h3>Related</h3><p><a href=3>Other story</a></p></div>',P),
+    'nested nav':(f'<main><nav><a href=1>Part one</a> <a href=2>Part two</a></nav><h1>Head</h1><p>{P}</p><p>{Q}</p></main>',f'Head\n{P}\n{Q}'),
+    'short':('<article><p>Be.</p></article>','Be.'),
+    'short line of a class-free page': (f'<body><div><p>{P}</p><div>Yes, really</div><p>{Q}</p></div></body>', f'{P}\nYes, really\n{Q}'),
+    'paragraph among links': (f'<body><div><a href=1>One</a></div><div>Read all the news here</div><div><a href=2>Two</a></div><div><p>{P}</p><p>{Q}</p></div></body>', f'{P}\n{Q}'),
+}
+
+
+@pytest.mark.parametrize("name", HAND)
+def test_pages_by_hand(name):
+    page, want = HAND[name]
+    assert hc.extract(page, W) == want
+
+
+def test_the_cut_decides():
+    """Without the flow some pages come out wrong, so labels do come from the cut."""
+    wrong = 0
+    for page, want in HAND.values():
+        found = hc.blocks(page)
+        wrong += "\n".join(b[0] for b, o in zip(found, hc.odds(found, W)) if o > 0) != want
+    assert wrong >= 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_given_pages(spark):
+    """On the given pages: all of the article element and nothing else; weights are learned from them without containers as
+    features, and some labels change in the cut if containers are left out."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = hc.train(pages)
+    assert abs(weights - W).max() > 0.3
+    changed = 0
+    for r in pages.collect():
+        found = hc.blocks(r.html)
+        assert [k for k in hc.labels(found, weights)] == [b[5] > 0 for b in found]
+        bare = [(b[0], b[1], 0, b[3], b[4], 0) for b in found]
+        changed += sum((o > 0) != k for o, k in zip(hc.odds(bare, weights), hc.labels(bare, weights)))
+    assert changed > 20
+
+
+def test_containers_are_no_features():
+    a, b = hc.blocks("<article class=post><p>Some words.</p></article>"), hc.blocks("<footer class=ad><p>Some words.</p></footer>")
+    assert (hc.vectors(a) == hc.vectors(b)).all() and a[0][5] == 1 and b[0][5] == -1
+    assert hc.evidence(a[0][2]) > 0 > hc.evidence(b[0][2])
+
+
+def test_names():
+    assert hc._named("ad-hoc", True) == hc._named("search-results-table", False) == hc._FLAGS["hint"]
+    assert hc._named("post-header", False) == hc._FLAGS["content"] and hc._named("site-header", False) == hc._FLAGS["header"]
+    assert hc._named("post-comments", False) == hc._FLAGS["comments"] and hc._named("bridge", False) == 0
+
+
+def test_fit_weighs_rows():
+    x, y = hc.vectors(hc.blocks(f"<p>{P}</p><p>{Q}</p><div><a href=1>x</a></div><div><a href=1>y z</a></div>")), np.array([1.0, 1, 0, 0])
+    assert np.allclose(hc.fit(x, y, np.array([2, 1, 1, 3])), hc.fit(x[[0, 0, 1, 2, 3, 3, 3]], y[[0, 0, 1, 2, 3, 3, 3]]))
+
+
 def test_smoothness_joins_siblings():
     b = hc.blocks("<article><p>a</p><p>b</p></article><div><p>c</p></div>")
     e = hc.smoothness(b)
