@@ -48,7 +48,7 @@ PERCENT = 85
 BANDS, ROWS, SAMPLES = 25, 5, 128
 BITS = 512
 #: Pairs of one hub that share its text, and parts over which a bucket is dealt where its ends are joined to its nodes.
-BLOCK, PARTS = 512, 8
+BLOCK, PARTS = 128, 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xDA942042E4DD58B5)) | np.uint64(1)
