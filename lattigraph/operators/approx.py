@@ -6,6 +6,10 @@ to a threshold set by the largest DNPR. taupush: fpsn for targets of DNPR up to
 others.
 
 Walk estimates are unbiased: each of the ceil(r * omega) walks from a residue r carries r over their number.
+
+Graphs of a counted size run in one task for each source; beyond it (``engine="join"``) pushes and walks are joins and
+aggregations over all sources at once. There all sources share a node's walks: those of a stored index come first, and where it
+holds too few, walks made now carry on from its numbers.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.loop import settle
+from ..sources.index import estimate_from_index
 from . import graph, ppr
 from .csr import Csr, compact
 from .ppr import ALPHA, per_source, spread
-from .push import accumulated_residue, cascade, push, push_vector
-from .walks import walk_ends
+from .push import accumulated_residue, accumulated_state, cascade, push, push_state, push_vector
+from .walks import walk_ends, walks
 
 METHODS = ("powiter", "fora", "foraplus", "foratp", "foraresacc", "fpsn", "taupush")
 
@@ -94,18 +99,19 @@ def with_walks(g: Csr, reserve: np.ndarray, residue: np.ndarray, omega: float, a
     return out + np.bincount(end, np.repeat(left[at] / np.maximum(count, 1), count), g.n)
 
 
-def leaf_dppr(a: DataFrame, cluster: DataFrame, method: str = "taupush", k: int = 25, alpha: float = ALPHA, seed: int = 2, backward: DataFrame | None = None) -> DataFrame:
-    """(source, node, value): deg(s) pi(s, t) between the nodes of ``cluster`` (node)."""
+def leaf_dppr(a: DataFrame, cluster: DataFrame, method: str = "taupush", k: int = 25, alpha: float = ALPHA, seed: int = 2, backward: DataFrame | None = None, engine: str = "auto", index: DataFrame | None = None) -> DataFrame:
+    """(source, node, value): deg(s) pi(s, t) between the nodes of ``cluster`` (node). ``index`` (source, walk_no, dest): stored walks of
+    the same seed."""
     seeds = ppr.degree_seeds(a, cluster)
     if method == "powiter":
         return ppr.dppr(a, cluster, alpha=alpha, targets=cluster)
     acc = accuracy(a, k)
-    out = _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau=_tau(a, cluster, acc, method), cluster_degree=None)
+    out = _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau=_tau(a, cluster, acc, method), cluster_degree=None, engine=engine, index=index)
     out = out.join(cluster.select("node").distinct(), "node", "left_semi").select("source", "node", "value")
     return overwrite_heavy(out, backward, cluster) if method == "taupush" and backward is not None else out
 
 
-def super_dppr(a: DataFrame, membership: DataFrame, method: str = "taupush", k: int = 25, alpha: float = ALPHA, seed: int = 2) -> DataFrame:
+def super_dppr(a: DataFrame, membership: DataFrame, method: str = "taupush", k: int = 25, alpha: float = ALPHA, seed: int = 2, engine: str = "auto", index: DataFrame | None = None) -> DataFrame:
     """(source, target, value): mean DPPR between the supernodes of ``membership`` (node, comm)."""
     if method == "powiter":
         return ppr.super_dppr(a, membership, alpha=alpha)
@@ -114,7 +120,7 @@ def super_dppr(a: DataFrame, membership: DataFrame, method: str = "taupush", k:
     if method in ("fpsn", "taupush"):
         means = ppr.dnpr_closed(a, alpha=alpha).join(membership, "node").groupBy("comm").agg(F.avg("dnpr").alias("d"))
         tau = means.agg(F.max("d")).first()[0]
-    values = _estimate(a, ppr.super_seeds(a, membership), membership, method, acc, alpha, seed, k_tau=tau, cluster_degree=cluster_stats(a, membership) if method == "foratp" else None, level=2)
+    values = _estimate(a, ppr.super_seeds(a, membership), membership, method, acc, alpha, seed, k_tau=tau, cluster_degree=cluster_stats(a, membership) if method == "foratp" else None, level=2, engine=engine, index=index)
     return ppr.to_supernodes(values, membership)
 
 
@@ -133,14 +139,12 @@ def _tau(a: DataFrame, cluster: DataFrame, acc: Accuracy, method: str) -> float
     return d.agg(F.max("dnpr")).first()[0] or acc.tau_max
 
 
-def _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau, cluster_degree, level=1) -> DataFrame:
+def _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau, cluster_degree, level=1, engine="auto", index=None) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    csr = compact(a)
+    csr = compact(a) if engine in ("auto", "csr") and index is None else None
     if csr is None and method in ("fpsn", "taupush"):
         return push(a, seeds, acc.push(k_tau), alpha, engine="join").select("source", "node", F.col("reserve").alias("value"))
-    if csr is None:
-        raise ValueError("the graph is beyond the size for one task; use powiter, fpsn or taupush, or push with engine='join'")
     total = None
     if method == "foratp":
         if cluster_degree is None:
@@ -148,16 +152,22 @@ def _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau, cluster_degree
         else:
             total = tuple(cluster_degree.agg(F.sum("dmean"), F.min("size")).first())
 
+    def limits(mass: float) -> tuple[float, float]:
+        """(rmax, omega) of a source."""
+        delta = (mass if level == 1 else acc.mean_degree) * acc.delta
+        rmax, omega = acc.walks(delta, (mass if level == 1 else 1.0) if total is None else total[0] * total[1])
+        return rmax, omega if total is None else omega / total[1]
+
+    if csr is None:
+        return _joined(a, seeds, method, limits, acc.m, alpha, seed, index)
+
     def work(g: Csr, x: np.ndarray):
         mass = float(x.sum())
         if not mass:
             return [np.zeros(g.n)]
         if method in ("fpsn", "taupush"):
             return [push_vector(g, x, acc.push(k_tau), alpha)[0]]
-        delta = (mass if level == 1 else acc.mean_degree) * acc.delta
-        rmax, omega = acc.walks(delta, (mass if level == 1 else 1.0) if total is None else total[0] * total[1])
-        if total is not None:
-            omega /= total[1]
+        rmax, omega = limits(mass)
         if method == "foraplus":
             reserve, residue = cascade(g, x, rmax, alpha)
         elif method == "foraresacc":
@@ -166,7 +176,7 @@ def _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau, cluster_degree
                 one = np.zeros(g.n)
                 one[v] = x[v]
                 p, r = accumulated_residue(g, one, alpha)
-                p, r = push_vector(g, r, mass / (10 * g.m * max(g.deg.max(), 1.0)), alpha, reserve=p)
+                p, r = push_vector(g, r, 1 / (10 * g.m), alpha, reserve=p)
                 reserve, residue = reserve + p, residue + r
         else:
             reserve, residue = push_vector(g, x, rmax, alpha)
@@ -175,6 +185,38 @@ def _estimate(a, seeds, cluster, method, acc, alpha, seed, k_tau, cluster_degree
     return per_source(seeds, csr, work, ("value",))
 
 
+def _joined(a: DataFrame, seeds: DataFrame, method: str, limits, m: float, alpha: float, seed: int, index: DataFrame | None, halvings: int = 3) -> DataFrame:
+    """Push and walks over all sources at once, by joins and aggregations."""
+
+    def of_source(batches):
+        for t in batches:
+            found = [limits(x) if x > 0 else (1.0, 1.0) for x in t["mass"]]
+            yield pd.DataFrame({"source": t["source"], "rmax": [f[0] for f in found], "omega": [f[1] for f in found]})
+
+    masses = seeds.groupBy("source").agg(F.sum("value").alias("mass"))
+    each = settle(masses.mapInPandas(of_source, "source long, rmax double, omega double"))
+    state = seeds.groupBy("source", "node").agg(F.sum("value").alias("residue")).select("source", "node", F.lit(0.0).alias("reserve"), "residue")
+    if method == "foraresacc":
+        leaves = settle(seeds.select(F.col("source").alias("of"), F.col("node").alias("leaf"), "value"))
+        unit = accumulated_state(a, leaves.select(F.col("leaf").alias("node")), alpha)
+        state = unit.join(leaves, F.col("source") == F.col("leaf")).select(F.col("of").alias("source"), "node", (F.col("reserve") * F.col("value")).alias("reserve"), (F.col("residue") * F.col("value")).alias("residue"))
+        state = push_state(a, state.groupBy("source", "node").agg(F.sum("reserve").alias("reserve"), F.sum("residue").alias("residue")), 1 / (10 * m), alpha)
+    elif method == "foraplus":
+        for h in range(halvings, -1, -1):
+            state = push_state(a, state, each.select("source", (F.col("rmax") * 2**h).alias("rmax")), alpha)
+    else:
+        state = push_state(a, state, each.select("source", "rmax"), alpha)
+    if method == "foraplus":  # the share that stops at once is added exactly
+        state = state.select("source", "node", (F.col("reserve") + alpha * F.col("residue")).alias("reserve"), ((1 - alpha) * F.col("residue")).alias("residue"))
+    state = settle(state)
+    need = state.where("residue > 0").join(each, "source").groupBy("node").agg(F.max(F.ceil(F.col("residue") * F.col("omega"))).alias("count"))
+    if index is not None:
+        need = need.join(index.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("first")), "node", "left")
+    made = walks(a, need, alpha, seed, force_first=method == "foraplus", engine="join")
+    made = settle(made if index is None else made.unionByName(index.select("source", "walk_no", "dest")))
+    return estimate_from_index(state, made, each.select("source", "omega"))
+
+
 def backward_index(a: DataFrame, membership: DataFrame, k: int = 25, alpha: float = ALPHA) -> DataFrame:
     """(source, target, dppr) for targets with DNPR over tau_max, from every node of the target's cluster.
     membership: (node, comm)."""

@@ -69,6 +69,17 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dense_ids(ids: DataFrame, column: str = "node") -> DataFrame:
     """(``column``, new): 0.. in the order of ``column``. Ranges are numbered apart and joined by prefix sums over
     their counts, so no task sees all rows."""
@@ -83,9 +94,11 @@ def dense_ids(ids: DataFrame, column: str = "node") -> DataFrame:
 
 def renumber(edges: DataFrame) -> DataFrame:
     """Edges over dense ids; isolated ids vanish, the order of ids is kept."""
-    ids = dense_ids(nodes(edges))
-    out = edges.join(ids.select(F.col("node").alias("src"), F.col("new").alias("a")), "src").join(ids.select(F.col("node").alias("dst"), F.col("new").alias("b")), "dst")
-    return out.select(F.col("a").alias("src"), F.col("b").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
+    edges = settle(edges)  # read for the ids and for the edges
+    ids = settle(dense_ids(nodes(edges)))
+    a, b = fresh(edges, "new_src", "new_dst")
+    out = edges.join(ids.select(F.col("node").alias("src"), F.col("new").alias(a)), "src").join(ids.select(F.col("node").alias("dst"), F.col("new").alias(b)), "dst")
+    return out.select(F.col(a).alias("src"), F.col(b).alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
 def induced(a: DataFrame, members: DataFrame) -> DataFrame:
@@ -108,8 +121,9 @@ def symmetry_violations(a: DataFrame) -> DataFrame:
 
 
 def row_normalised(a: DataFrame) -> DataFrame:
-    """(src, dst, p): weights over their row's sum."""
-    return a.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("src"))).alias("p"))
+    """(src, dst, p): weights over their row's sum. Sums are taken partially and joined, so that a hub's row may be split."""
+    total = a.groupBy("src").agg(F.sum("w").alias("row"))
+    return a.join(total, "src").select("src", "dst", (F.col("w") / F.col("row")).alias("p"))
 
 
 def reverse_arcs(a: DataFrame) -> DataFrame:

@@ -193,7 +193,9 @@ def svg(points: DataFrame, edges: DataFrame | None = None, size: int = 640, labe
     lines = []
     if edges is not None:
         inside = points.select("node")
-        kept = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").limit(20 * most).collect()
+        kept = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").limit(20 * most + 1).collect()
+        if len(kept) > 20 * most:
+            raise ValueError(f"over {20 * most} edges: draw a cluster instead")
         lines = [f'<line x1="{at[s][0]:.2f}" y1="{at[s][1]:.2f}" x2="{at[d][0]:.2f}" y2="{at[d][1]:.2f}" stroke="lightgray" stroke-width="0.5"/>' for s, d in kept]
     dots = [f'<circle cx="{at[n][0]:.2f}" cy="{at[n][1]:.2f}" r="{min(max(x * f, 1.5), size / 8):.2f}"/>' for n, x in zip(p["node"], r)]
     text = [f'<text x="{at[n][0]:.2f}" y="{at[n][1]:.2f}" font-size="5">{n}</text>' for n in p["node"]] if labels else []

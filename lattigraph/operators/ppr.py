@@ -75,16 +75,15 @@ def truncated(a: DataFrame, seeds: DataFrame, steps: int = 15, alpha: float = AL
     if csr is not None:
         return per_source(seeds, csr, sums, ("value",))
     p = settle(graph.row_normalised(a).repartition("src"))
-    now = Settled(seeds.groupBy("source", "node").agg(F.sum("value").alias("value")))
-    kept = [now.df]
+    state = Settled(seeds.groupBy("source", "node").agg(F.sum("value").alias("value")).withColumn("total", F.col("value")))
     for _ in range(steps):
-        moved = now.df.join(p, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum((1 - alpha) * F.col("value") * F.col("p")).alias("value"))
-        now = Settled(moved)
-        kept.append(now.df)
-    every = kept[0]
-    for k in kept[1:]:
-        every = every.unionByName(k)
-    return every.groupBy("source", "node").agg((alpha * F.sum("value")).alias("value")).where("value <> 0")
+        # one table holds this step's mass and the sum so far; mass moves and is added to it
+        moved = state.df.where("value <> 0").join(p, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), ((1 - alpha) * F.col("value") * F.col("p")).alias("value"), F.lit(0.0).alias("total"))
+        held = state.df.select("source", "node", F.lit(0.0).alias("value"), "total")
+        new = Settled(held.unionByName(moved).groupBy("source", "node").agg(F.sum("value").alias("value"), F.sum("total").alias("total")).select("source", "node", "value", (F.col("total") + F.col("value")).alias("total")))
+        state.remove()
+        state = new
+    return state.df.where("total <> 0").select("source", "node", (alpha * F.col("total")).alias("value"))
 
 
 def steps_for(tolerance: float, mass: float = 1.0, alpha: float = ALPHA) -> int:

@@ -36,22 +36,53 @@ def push(a: DataFrame, seeds: DataFrame, rmax: float, alpha: float = ALPHA, roun
     csr = compact(a) if engine in ("auto", "csr") else None
     if csr is not None:
         return per_source(seeds, csr, lambda g, x: push_vector(g, x, rmax, alpha, rounds, backward), ("reserve", "residue"))
+    state = seeds.groupBy("source", "node").agg(F.sum("value").alias("residue")).select("source", "node", F.lit(0.0).alias("reserve"), "residue")
+    return push_state(a, state, rmax, alpha, rounds, backward)
+
+
+def push_state(a: DataFrame, state: DataFrame, rmax, alpha: float = ALPHA, rounds: int | None = None, backward: bool = False, first: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """Push on from a state (source, node, reserve, residue) by joins and aggregations. ``rmax``: a number, or a threshold for
+    each source (source, rmax). ``first``: the first round pushes whatever holds mass. ``among`` (source, node): what may be pushed."""
     p = graph.row_normalised(a)
     arcs = p.select(F.col("src").alias("at"), F.col("dst").alias("to"), "p") if not backward else p.select(F.col("dst").alias("at"), F.col("src").alias("to"), "p")
     arcs = settle(arcs.repartition("at"))
     deg = settle(graph.weighted_degree(a))
-    state = Settled(seeds.groupBy("source", "node").agg(F.sum("value").alias("residue")).join(deg, "node").select("source", "node", F.lit(0.0).alias("reserve"), "residue", "wdeg"))
-    over = F.col("residue") > 0
-    done = 0
-    while (rounds is None or done < rounds) and state.df.where(over).head(1):
-        active = state.df.where(over)
-        moved = active.join(arcs, F.col("node") == F.col("at")).select("source", F.col("to").alias("node"), F.lit(0.0).alias("reserve"), ((1 - alpha) * F.col("residue") * F.col("p")).alias("residue"))
-        held = state.df.select("source", "node", F.when(over, F.col("reserve") + alpha * F.col("residue")).otherwise(F.col("reserve")).alias("reserve"), F.when(over, 0.0).otherwise(F.col("residue")).alias("residue"))
-        new = Settled(held.unionByName(moved).groupBy("source", "node").agg(F.sum("reserve").alias("reserve"), F.sum("residue").alias("residue")).join(deg, "node").select("source", "node", "reserve", "residue", "wdeg"))
-        state.remove()
-        state, done = new, done + 1
-        over = F.col("residue") > (F.lit(rmax) if backward else rmax * F.col("wdeg"))
-    return state.df.select("source", "node", "reserve", "residue").where("reserve <> 0 or residue <> 0")
+    if among is not None:
+        among = settle(among.select("source", "node").distinct().withColumn("may", F.lit(True)))
+
+    def marked(df: DataFrame, whatever: bool) -> DataFrame:
+        df = df.join(deg, "node")
+        df = df.join(rmax, "source") if isinstance(rmax, DataFrame) else df.withColumn("rmax", F.lit(float(rmax)))
+        hot = F.col("residue") > (F.lit(0.0) if whatever else F.col("rmax") if backward else F.col("rmax") * F.col("wdeg"))
+        if among is not None:
+            df = df.join(among, ["source", "node"], "left")
+            hot = hot & F.coalesce("may", F.lit(False))
+        return df.select("source", "node", "reserve", "residue", hot.alias("hot"))
+
+    now, done = Settled(marked(state, first)), 0
+    while (rounds is None or done < rounds) and now.df.where("hot").head(1):
+        moved = now.df.where("hot").join(arcs, F.col("node") == F.col("at")).select("source", F.col("to").alias("node"), F.lit(0.0).alias("reserve"), ((1 - alpha) * F.col("residue") * F.col("p")).alias("residue"))
+        held = now.df.select("source", "node", F.when(F.col("hot"), F.col("reserve") + alpha * F.col("residue")).otherwise(F.col("reserve")).alias("reserve"), F.when(F.col("hot"), 0.0).otherwise(F.col("residue")).alias("residue"))
+        new = Settled(marked(held.unionByName(moved).groupBy("source", "node").agg(F.sum("reserve").alias("reserve"), F.sum("residue").alias("residue")), False))
+        now.remove()
+        now, done = new, done + 1
+    return now.df.select("source", "node", "reserve", "residue").where("reserve <> 0 or residue <> 0")
+
+
+def accumulated_state(a: DataFrame, leaves: DataFrame, alpha: float = ALPHA, hops: int = 2, tiny: float = 1e-14) -> DataFrame:
+    """``accumulated_residue`` of a unit of mass at each of ``leaves`` (node), by joins: (source, node, reserve, residue)."""
+    own = leaves.select(F.col("node").alias("source"), "node").distinct()
+    ball = own
+    for _ in range(hops):
+        ball = settle(ball.unionByName(ball.join(a.select(F.col("src").alias("node"), "dst"), "node").select("source", F.col("dst").alias("node"))).distinct())
+    once = push_state(a, own.select("source", "node", F.lit(0.0).alias("reserve"), F.lit(1.0).alias("residue")), 0.0, alpha, rounds=1)
+    state = settle(push_state(a, once, tiny, alpha, first=False, among=ball.where("source <> node")))
+    home = state.where("source = node").select("source", F.col("residue").alias("back")).join(graph.weighted_degree(a).withColumnRenamed("node", "source"), "source")
+    share = F.when((F.col("back") > 0) & (F.col("back") < 1), F.col("back"))
+    times = F.when(share.isNotNull(), F.greatest(F.lit(1.0), F.ceil(F.log(tiny * F.greatest("wdeg", F.lit(1.0))) / F.log(share)))).otherwise(F.lit(1.0))
+    home = home.select("source", F.coalesce((1 - F.pow(share, times)) / (1 - share), F.lit(1.0)).alias("scale"), F.when(F.col("back") > 0, F.pow("back", times)).otherwise(F.col("back")).alias("left"))
+    out = state.join(home, "source", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+    return out.select("source", "node", (F.col("reserve") * F.col("scale")).alias("reserve"), F.when((F.col("source") == F.col("node")) & F.col("left").isNotNull(), F.col("left")).otherwise(F.col("residue") * F.col("scale")).alias("residue"))
 
 
 def cascade(g: Csr, x: np.ndarray, rmax: float, alpha: float = ALPHA, halvings: int = 3) -> tuple[np.ndarray, np.ndarray]:

@@ -69,8 +69,10 @@ def heavy_start(cumulative: np.ndarray, g: Csr, here: np.ndarray) -> np.ndarray:
 
 
 def walks(a: DataFrame, need: DataFrame, alpha: float = ALPHA, seed: int = 2, force_first: bool = False, engine: str = "auto") -> DataFrame:
-    """(source, walk_no, dest) for ``need`` (node, count): count walks from each node."""
-    numbered = need.where("count > 0").select(F.col("node").alias("source"), F.explode(F.sequence(F.lit(0), F.col("count").cast("long") - 1)).alias("walk_no"))
+    """(source, walk_no, dest) for ``need`` (node, count): count walks from each node; with a column ``first`` those from that
+    number on. A walk depends on its node and number alone, so walks made at different times add up."""
+    low = F.coalesce(F.col("first").cast("long"), F.lit(0)) if "first" in need.columns else F.lit(0).cast("long")
+    numbered = need.where(F.col("count") > low).select(F.col("node").alias("source"), F.explode(F.sequence(low, F.col("count").cast("long") - 1)).alias("walk_no"))
     csr = compact(a) if engine in ("auto", "csr") else None
     if csr is not None:
 

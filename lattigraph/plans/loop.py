@@ -1,8 +1,9 @@
 """Driver loops over DataFrames.
 
 A loop's state is written as a table each round, in the folder that the cluster names in ``spark.checkpoint.dir``
-(a temporary folder where it is unset, as in tests). That cuts the plan's lineage, survives lost executors and
-lets the round before be removed.
+or that ``SparkContext.setCheckpointDir`` set. That cuts the plan's lineage, survives lost executors and
+lets the round before be removed. Without either, a temporary folder of this machine serves a local master, as in tests; a
+cluster is refused, since its executors would not share such a folder.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +19,11 @@ _local: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="lattigraph-"))
         atexit.register(shutil.rmtree, _local[0], True)
@@ -45,13 +47,3 @@ class Settled:
 def settle(df: DataFrame, name: str = "state") -> DataFrame:
     """``df`` as a written table."""
     return Settled(df, name).df
-
-
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, int], bool], most: int = 10_000) -> DataFrame:
-    """Apply ``step`` until ``done``; only the last state is kept."""
-    now, i = Settled(state), 0
-    while i < most and not done(now.df, i):
-        new = Settled(step(now.df, i))
-        now.remove()
-        now, i = new, i + 1
-    return now.df

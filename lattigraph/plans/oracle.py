@@ -34,16 +34,17 @@ def power(steps: int, name: str = "pi") -> str:
     return ", ".join(parts) + f", {name} AS MATERIALIZED (SELECT source, node, {ALPHA} * sum(value) AS value FROM ({union}) GROUP BY 1, 2)"
 
 
-def pushes(rounds: int, rmax: float, backward: bool = False) -> str:
-    """CTEs that unroll synchronous push rounds; the first pushes every residue."""
+def pushes(rounds: int, rmax: float | str, backward: bool = False, s: str = "s", a: str = "a", seeds: str = "seeds") -> str:
+    """CTEs that unroll synchronous push rounds; the first pushes every residue. ``rmax``: a number, or SQL of a row's threshold. Rounds
+    in which nothing is over the threshold change nothing, so enough of them reach the fixpoint."""
     at, to = ("dst", "src") if backward else ("src", "dst")
-    parts = ["s0 AS MATERIALIZED (SELECT source, node, 0.0::DOUBLE AS reserve, sum(value) AS residue FROM seeds GROUP BY 1, 2)"]
+    parts = [f"{s}0 AS MATERIALIZED (SELECT source, node, 0.0::DOUBLE AS reserve, sum(value) AS residue FROM {seeds} GROUP BY 1, 2)"]
     for i in range(1, rounds + 1):
         over = "residue > 0" if i == 1 else f"residue > {rmax}" + ("" if backward else " * d")
-        parts.append(f"a{i} AS MATERIALIZED (SELECT s.*, {over} AS hot FROM s{i - 1} s JOIN wdeg USING (node))")
-        parts.append(f"""s{i} AS MATERIALIZED (SELECT source, node, sum(reserve) AS reserve, sum(residue) AS residue FROM (
- SELECT source, node, CASE WHEN hot THEN reserve + {ALPHA} * residue ELSE reserve END AS reserve, CASE WHEN hot THEN 0 ELSE residue END AS residue FROM a{i}
- UNION ALL SELECT source, {to}, 0, {1 - ALPHA} * residue * p FROM a{i} JOIN norm ON node = {at} WHERE hot) GROUP BY 1, 2)""")
+        parts.append(f"{a}{i} AS MATERIALIZED (SELECT s.*, {over} AS hot FROM {s}{i - 1} s JOIN wdeg USING (node))")
+        parts.append(f"""{s}{i} AS MATERIALIZED (SELECT source, node, sum(reserve) AS reserve, sum(residue) AS residue FROM (
+ SELECT source, node, CASE WHEN hot THEN reserve + {ALPHA} * residue ELSE reserve END AS reserve, CASE WHEN hot THEN 0 ELSE residue END AS residue FROM {a}{i}
+ UNION ALL SELECT source, {to}, 0, {1 - ALPHA} * residue * p FROM {a}{i} JOIN norm ON node = {at} WHERE hot) GROUP BY 1, 2)""")
     return ", ".join(parts)
 
 
@@ -80,6 +81,30 @@ def meet(a: str, b: str, c: str, d: str) -> str:
     return f"(({o1} <> {o2} AND {o3} <> {o4}) OR ({o1} = 0 AND {on_segment(a, c, b)}) OR ({o2} = 0 AND {on_segment(a, d, b)}) OR ({o3} = 0 AND {on_segment(c, a, d)}) OR ({o4} = 0 AND {on_segment(c, b, d)}))"
 
 
+PS_SOURCES = "cluster AS MATERIALIZED (SELECT DISTINCT dst AS node FROM ps WHERE dst <= 81)"
+#: What sets thresholds: n, m, and of them delta and its relative error.
+SIZE = "size AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, sum(d) / 2 AS m FROM wdeg), small AS MATERIALIZED (SELECT n, m, 1 / (250 * ln(n)) AS delta, 2 * m / n AS mean, 1 / sqrt(25 * n) AS tau_max FROM size)"
+
+
+def epsilon(delta: str) -> str:
+    return f"least(1 - 1 / n, greatest(1 - sqrt(2 * ({delta}) / exp(1.0::DOUBLE)), 1 - exp(-1.0::DOUBLE)))"
+
+
+def push_limit(tau: str) -> str:
+    """The threshold of a push without walks, as CTE ``lim``; ``tau``: SQL of the largest DNPR of a target."""
+    return f"lim AS MATERIALIZED (SELECT {epsilon('mean * delta')} * mean * delta / (2 * m * ({tau})) AS rmax FROM small)"
+
+
+def backward(members: str, rounds: int = 40) -> str:
+    """CTEs up to ``bw`` (source, target, dppr), the backward index of the supernodes ``members`` (node, comm)."""
+    delta = "n * tau_max / 25"
+    return f"""heavy AS MATERIALIZED (SELECT node AS target, comm FROM dn JOIN {members} USING (node) CROSS JOIN small WHERE dnpr > tau_max),
+ widest AS MATERIALIZED (SELECT target, max(d) AS dmax FROM heavy h JOIN {members} o ON o.comm = h.comm AND o.node <> target JOIN wdeg w ON w.node = o.node GROUP BY 1),
+ blim AS MATERIALIZED (SELECT target, {epsilon(delta)} * ({delta}) / dmax AS rmax FROM widest CROSS JOIN small), bseeds AS (SELECT target AS source, target AS node, 1.0::DOUBLE AS value FROM widest),
+ {pushes(rounds, "(SELECT rmax FROM blim WHERE target = source)", True, "bs", "ba", "bseeds")},
+ bw AS MATERIALIZED (SELECT b.node AS source, b.source AS target, reserve * d AS dppr FROM bs{rounds} b JOIN wdeg w ON w.node = b.node JOIN heavy h ON h.target = b.source JOIN {members} o ON o.node = b.node AND o.comm = h.comm WHERE reserve <> 0)"""
+
+
 def oracles() -> dict[str, str]:
     exact = f"{PARTNER_ARCS}, {NORM}, {DEGREE}, {power(140)}"
     comm = "cw AS MATERIALIZED (SELECT s.comm AS cs, d.comm AS cd, sum(w) AS w FROM arcs JOIN members s ON src = s.node JOIN members d ON dst = d.node GROUP BY 1, 2)"
@@ -150,4 +175,49 @@ def oracles() -> dict[str, str]:
         "segment_orientation": f"WITH {CHAIN}, {SUPPLIER_POINTS}, t AS (SELECT e.src AS a, e.dst AS b, f.dst AS c FROM chain e JOIN chain f ON e.dst = f.src), p AS (SELECT a, b, c, pa.x AS ax, pa.y AS ay, pb.x AS bx, pb.y AS \"by\", pc.x AS cx, pc.y AS cy FROM t JOIN points pa ON a = pa.node JOIN points pb ON b = pb.node JOIN points pc ON c = pc.node) SELECT a, b, c, (CASE WHEN {TURN.replace('by', chr(34) + 'by' + chr(34))} > 0 THEN 1 WHEN {TURN.replace('by', chr(34) + 'by' + chr(34))} < 0 THEN 2 ELSE 0 END)::INTEGER AS turn FROM p",
         "crossing_ratio": f"WITH {ends}, m AS (SELECT count(*) AS m FROM pedges), d AS (SELECT sum(c * (c - 1) / 2.0) AS shared FROM (SELECT node, count(*)::DOUBLE AS c FROM (SELECT src AS node FROM pedges UNION ALL SELECT dst FROM pedges) GROUP BY 1)), x AS (SELECT count(*) AS crossings FROM ends a JOIN ends b ON (a.src > b.src OR (a.src = b.src AND a.dst > b.dst)) AND a.src <> b.src AND a.dst <> b.dst AND a.src <> b.dst AND a.dst <> b.src AND {meet('a.s', 'a.d', 'b.s', 'b.d')}) SELECT crossings, round(crossings / (m * (m - 1) / 2.0 - shared), 9) AS ratio FROM x CROSS JOIN m CROSS JOIN d",
     }
+    sources = f"{PS_ARCS}, {NORM}, {PS_SOURCES}"
+    units = "seeds AS (SELECT node AS source, node, 1.0::DOUBLE AS value FROM cluster)"
+    degrees = "seeds AS (SELECT node AS source, node, d AS value FROM cluster JOIN wdeg USING (node))"
+    state = "source, node, round(reserve, 9) AS reserve, round(residue, 9) AS residue"
+    value = "source, node, round(value, 9) AS value"
+    fpsn = f"WITH {sources}, {DNPR}, {SIZE}, {push_limit('SELECT max(dnpr) FROM dn JOIN cluster USING (node)')}, {degrees}, {pushes(40, '(SELECT rmax FROM lim)')} SELECT source, node, round(reserve, 9) AS value FROM s40 JOIN cluster USING (node) WHERE reserve <> 0 OR residue <> 0"
+    tau = "SELECT coalesce(max(dnpr), any_value(tau_max)) FROM (SELECT dnpr FROM dn JOIN cluster USING (node) CROSS JOIN small WHERE dnpr <= tau_max) RIGHT JOIN small ON true"
+    ps_dense = "ids AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS new FROM (SELECT DISTINCT src AS node FROM arcs))"
+    within = lambda *methods: f"WITH {PS}, {PS_SOURCES}, c AS (SELECT count(*) AS k FROM cluster) SELECT method, k * k AS pairs, 0::BIGINT AS outside FROM c CROSS JOIN (VALUES {', '.join(f'({chr(39)}{m}{chr(39)})' for m in methods)}) v(method)"
+    e = "1 - exp(-1.0::DOUBLE)"
+    out |= {
+        "ppr_truncated_ps": f"WITH {sources}, {units}, {power(15)} SELECT {value} FROM pi",
+        "dppr_exact_ps": f"WITH {sources}, {degrees}, {power(125)} SELECT source, node, round(value, 7) AS value FROM pi",
+        "push_forward_ps": f"WITH {sources}, {degrees}, {pushes(60, 0.0001)} SELECT {state} FROM s60 WHERE reserve <> 0 OR residue <> 0",
+        "push_backward_ps": f"WITH {sources}, {units}, {pushes(40, 0.001, True)} SELECT {state} FROM s40 WHERE reserve <> 0 OR residue <> 0",
+        "fpsn": fpsn,
+        "fpsn_join": fpsn,
+        "tau_push": f"""WITH {sources}, {DNPR}, {SIZE}, {push_limit(tau)}, {degrees}, {pushes(40, "(SELECT rmax FROM lim)")}, own AS MATERIALIZED (SELECT node, 0 AS comm FROM cluster), {backward("own")},
+ f AS (SELECT source, node, reserve AS value FROM s40 JOIN cluster USING (node) WHERE reserve <> 0 OR residue <> 0)
+ SELECT coalesce(f.source, bw.source) AS source, coalesce(f.node, bw.target) AS node, round(coalesce(dppr, value), 9) AS value FROM f FULL JOIN bw ON f.source = bw.source AND f.node = bw.target""",
+        "super_tau_push": f"""WITH {PS_ARCS}, {NORM}, {MEMBERS}, {SUPER}, {DNPR}, {SIZE}, {push_limit("SELECT max(d) FROM (SELECT avg(dnpr) AS d FROM dn JOIN members USING (node) GROUP BY comm)")}, {pushes(60, "(SELECT rmax FROM lim)")}
+ SELECT source, comm AS target, round(sum(reserve) / any_value(size), 9) AS value FROM s60 JOIN members USING (node) JOIN sizes USING (comm) WHERE reserve <> 0 OR residue <> 0 GROUP BY 1, 2""",
+        "backward_index": f"WITH {PS_ARCS}, {NORM}, {MEMBERS}, {DNPR}, {SIZE}, {backward('members')} SELECT source, target, round(dppr, 9) AS dppr FROM bw",
+        "source_backward_index": f"WITH {PS_ARCS}, {NORM}, {MEMBERS}, {DNPR}, {SIZE}, {backward('members')} SELECT source, target, round(dppr, 9) AS dppr FROM bw WHERE target IN (SELECT node FROM members WHERE comm = 1000)",
+        "ppr_truncated_join": f"WITH {sources}, {units}, {power(15)} SELECT {value} FROM pi",
+        "push_forward_join": out["push_forward_rounds"],
+        "push_backward_join": out["push_backward_rounds"],
+        "components_rounds": f"WITH {leaves} SELECT node, comp FROM chain_comp WHERE size > 1",
+        "walk_index_counts": f"WITH {PS_ARCS}, {NORM}, {SIZE}, lim AS (SELECT *, mean * delta AS md, 2 + 2 * ({e}) / 3 AS c, ln(n) AS fail FROM small), t AS (SELECT ({e}) * sqrt(md * mean / (c * 2 * m * fail)) AS rmax, c * fail / (md * ({e}) * ({e})) AS omega FROM lim) SELECT node AS source, ceil(d * rmax * omega)::BIGINT AS walks FROM wdeg CROSS JOIN t",
+        "walk_methods_bound": within("fora", "foraplus", "foratp", "foraresacc"),
+        "walk_methods_bound_join": within("foratp"),
+        "fora_indexed_bound": within("fora"),
+        "source_edge_list": out["edges_canonical"],
+        "source_weighted_edge_list": f"WITH {TRADE} SELECT src, dst, weight FROM trade",
+        "source_binary_graph": f"WITH {PS_ARCS}, {ps_dense} SELECT a.new AS src, b.new AS dst, w FROM arcs JOIN ids a ON src = a.node JOIN ids b ON dst = b.node",
+        "source_positions": f"WITH {SUPPLIER_POINTS} SELECT row_number() OVER (ORDER BY node) - 1 AS node, round(x, 9) AS x, round(y, 9) AS y, round(x / 2, 9) AS r FROM points",
+        "source_layout": f"WITH {SUPPLIER_POINTS} SELECT node, round(x, 9) AS x, round(y, 9) AS y FROM points",
+        "source_partition": f"WITH {MEMBERS}, c AS (SELECT comm, row_number() OVER (ORDER BY comm) - 1 AS new FROM (SELECT DISTINCT comm FROM members)) SELECT node, new AS comm FROM members JOIN c USING (comm)",
+        "source_membership": "SELECT 0 AS component, 1 AS level, s_nationkey::BIGINT AS id, s_suppkey AS leaf FROM supplier",
+        "source_hierarchy": "SELECT 0 AS component, 2 AS level, n_regionkey::BIGINT AS id, n_nationkey::BIGINT AS child_id FROM nation",
+        "source_dnpr": out["dnpr_closed"],
+        "sidecar_counts": f"WITH {PS} SELECT 'n' AS name, (SELECT count(*) FROM (SELECT src FROM ps UNION SELECT dst FROM ps)) AS stated UNION ALL SELECT 'm', count(*) FROM ps",
+        "neighbors": f"WITH {PARTNER_ARCS} SELECT dst, w FROM arcs WHERE src = 0",
+        "supernode_names": "SELECT 'c0_l1_' || n_nationkey AS name, 0 AS component, 1 AS level, n_nationkey::BIGINT AS id FROM nation",
+    }
     return out

@@ -3,12 +3,15 @@ does not show."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import orientation, pdist_natural
+from ..functions.exprs import orientation, parse_supernode, pdist_natural, supernode_name
 from ..operators import approx, cluster, distance, graph, layout, metrics, ppr, push, walks
-from .loop import settle
+from ..sources import binary, index, text
+from .loop import scratch, settle
 from .tables import Tables
 
 REGISTRY: dict = {}
@@ -219,20 +222,202 @@ def super_fora_tp(t):
 
 
 @query
-def walk_index(t):
+def backward_index(t):
+    return rounded(approx.backward_index(ps_arcs(t), settle(t.ps_members())))
+
+
+@query
+def simrank(t):
+    return rounded(ppr.simrank(partner_arcs(t), steps=4))
+
+
+# the engines that graphs beyond one task run on
+
+
+@query
+def ppr_truncated_join(t):
+    return rounded(ppr.truncated(ps_arcs(t), ppr.unit_seeds(t.ps_sources()), engine="join"))
+
+
+@query
+def push_forward_join(t):
+    a = partner_arcs(t)
+    return rounded(push.push(a, ppr.degree_seeds(a), 0.01, rounds=5, engine="join"))
+
+
+@query
+def push_backward_join(t):
+    a = partner_arcs(t)
+    return rounded(push.push(a, ppr.unit_seeds(graph.nodes(a)), 0.01, rounds=5, backward=True, engine="join"))
+
+
+@query
+def fpsn_join(t):
+    return rounded(approx.leaf_dppr(ps_arcs(t), settle(t.ps_sources()), "fpsn", engine="join"))
+
+
+@query
+def components_rounds(t):
+    return cluster.components(graph.symmetric(t.chain()), engine="rounds")
+
+
+@query
+def walk_index_counts(t):
+    """(source, walks): the walks of an index by their source."""
+    return walk_index(t).groupBy("source").agg(F.count("*").alias("walks"))
+
+
+def walk_index(t) -> DataFrame:
     a = ps_arcs(t)
     acc = approx.accuracy(a)
     return walks.walk_index(a, *acc.index_threshold(acc.mean_degree))
 
 
+REGISTRY["walk_index"] = lambda spark, sf_dir: walk_index(Tables(spark, sf_dir))
+
+
+def _within(t, engine: str, methods: tuple[str, ...], indexed: bool = False) -> DataFrame:
+    """(method, pairs, outside): the pairs of sources, and how many estimates differ from the exact value by more than the relative
+    error of one half and the least mass that counts."""
+    a, sources = ps_arcs(t), settle(t.ps_sources())
+    acc = approx.accuracy(a)
+    index = settle(walk_index(t)) if indexed else None
+    exact = settle(ppr.dppr(a, sources, targets=sources))
+    least = sources.join(graph.weighted_degree(a), "node").select(F.col("node").alias("source"), (F.col("wdeg") * acc.delta).alias("least"))
+    out = None
+    for method in methods:
+        found = approx.leaf_dppr(a, sources, method, engine=engine, index=index).withColumnRenamed("value", "estimate")
+        both = exact.join(found, ["source", "node"], "left").join(least, "source")
+        off = F.abs(F.coalesce("estimate", F.lit(0.0)) - F.col("value")) > 0.5 * F.greatest("value", "least")
+        one = both.agg(F.count("*").alias("pairs"), F.sum(off.cast("long")).alias("outside")).select(F.lit(method).alias("method"), "pairs", "outside")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
-def backward_index(t):
-    return rounded(approx.backward_index(ps_arcs(t), settle(t.ps_members())))
+def walk_methods_bound(t):
+    return _within(t, "auto", ("fora", "foraplus", "foratp", "foraresacc"))
 
 
 @query
-def simrank(t):
-    return rounded(ppr.simrank(partner_arcs(t), steps=4))
+def walk_methods_bound_join(t):
+    return _within(t, "join", ("foratp",))
+
+
+@query
+def fora_indexed_bound(t):
+    """With a stored walk index, topped up by walks made now."""
+    return _within(t, "join", ("fora",), indexed=True)
+
+
+# sources and sinks: written from the tables and read back
+
+
+def _file(t, name: str) -> str:
+    """A new path of the shared folder as a mounted file's."""
+    path = f"{scratch(t.spark)}/{name}-{uuid.uuid4().hex}"
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError("binary files need a folder that is mounted on all machines")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _folder(t, name: str) -> str:
+    return f"{scratch(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def source_edge_list(t):
+    path = _folder(t, "edges")
+    text.write_edges(graph.canonical(t.ps()), path)
+    return text.read_edges(t.spark, path, n=1 << 40).select("src", "dst")
+
+
+@query
+def source_weighted_edge_list(t):
+    path = _folder(t, "edges")
+    text.write_edges(t.trade(), path, weighted=True)
+    return text.read_edges(t.spark, path, weighted=True)
+
+
+@query
+def source_binary_graph(t):
+    path = _file(t, "graph")
+    binary.write_csr(graph.symmetric(graph.renumber(graph.canonical(t.ps()).select("src", "dst"))), path, path + ".w")
+    return binary.read_csr(t.spark, path, path + ".w")
+
+
+@query
+def source_positions(t):
+    stem = _file(t, "positions")
+    binary.write_positions(t.supplier_points().withColumn("r", F.col("x") / 2), stem)
+    return rounded(binary.read_positions(t.spark, stem))
+
+
+@query
+def source_layout(t):
+    path = _folder(t, "layout")
+    binary.write_layout(t.supplier_points(), path)
+    return rounded(binary.read_layout(t.spark, path))
+
+
+@query
+def source_partition(t):
+    path = _folder(t, "partition")
+    text.write_partition(t.ps_members(), path)
+    cells = F.split("value", " ")
+    return t.spark.read.text(path).select(cells[0].cast("long").alias("node"), cells[1].cast("long").alias("comm"))
+
+
+@query
+def source_membership(t):
+    """Blocks of suppliers by nation."""
+    path = _folder(t, "blocks")
+    text.write_blocks(t.supplier.select(F.lit(0).alias("component"), F.lit(1).alias("level"), F.col("s_nationkey").cast("long").alias("id"), F.col("s_suppkey").alias("leaf")), "leaf", path)
+    return text.read_membership(t.spark, path).select(F.col("component").cast("int"), F.col("level").cast("int"), F.col("id").cast("long"), "leaf")
+
+
+@query
+def source_hierarchy(t):
+    path = _folder(t, "blocks")
+    text.write_blocks(t.nation.select(F.lit(0).alias("component"), F.lit(2).alias("level"), F.col("n_regionkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("child_id")), "child_id", path)
+    return text.read_hierarchy(t.spark, path).select(F.col("component").cast("int"), F.col("level").cast("int"), F.col("id").cast("long"), "child_id")
+
+
+@query
+def source_dnpr(t):
+    path = _folder(t, "dnpr")
+    index.save_dnpr(ppr.dnpr_closed(ps_arcs(t)), path)
+    return rounded(index.load_dnpr(t.spark, path), 12)
+
+
+@query
+def source_backward_index(t):
+    """The stored index of one supernode: the first nation's suppliers."""
+    path, members = _folder(t, "backward"), settle(t.ps_members())
+    index.save_backward(approx.backward_index(ps_arcs(t), members), members, path)
+    return rounded(index.load_backward(t.spark, path, 1000))
+
+
+@query
+def sidecar_counts(t):
+    """n and m of a written sidecar."""
+    path, found = _folder(t, "sidecar"), graph.stats(graph.symmetric(t.ps())).first()
+    t.spark.createDataFrame([(f"n={found.n}",), (f"m={found.m}",)], "value string").coalesce(1).write.text(path)
+    return t.spark.createDataFrame(sorted(text.read_sidecar(t.spark, path).items()), "name string, stated long")
+
+
+@query
+def neighbors(t):
+    """Of the first nation."""
+    return graph.neighbours(partner_arcs(t), 0)
+
+
+@query
+def supernode_names(t):
+    """Names of nations under regions, parsed back."""
+    name = supernode_name(F.lit(0), F.lit(1), F.col("n_nationkey"))
+    c, level, ident = parse_supernode(name)
+    return t.nation.select(name.alias("name"), c.cast("int").alias("component"), level.cast("int").alias("level"), ident.cast("long").alias("id"))
 
 
 # distances

@@ -29,15 +29,17 @@ def save_backward(index: DataFrame, membership: DataFrame, path: str) -> None:
 
 
 def load_backward(spark: SparkSession, path: str, comm: int | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema("source long, target long, dppr double, comm long").parquet(path)  # an empty index has no files
     return (rows if comm is None else rows.where(F.col("comm") == comm)).select("source", "target", "dppr")
 
 
-def estimate_from_index(state: DataFrame, walks: DataFrame, omega: float) -> DataFrame:
+def estimate_from_index(state: DataFrame, walks: DataFrame, omega) -> DataFrame:
     """(source, node, value): reserves, plus residues carried along the first ceil(residue * omega) stored walks of their
-    node; where fewer are stored, along those. A residue without any walk stays where it is. state: (source, node, reserve, residue)."""
+    node; where fewer are stored, along those. A residue without any walk stays where it is. state: (source, node, reserve, residue).
+    ``omega``: a number, or one for each source (source, omega)."""
+    held = state.join(omega, "source") if isinstance(omega, DataFrame) else state.withColumn("omega", F.lit(float(omega)))
     stored = walks.groupBy("source").agg(F.count("*").alias("stored")).withColumnRenamed("source", "node")
-    need = state.where("residue > 0").join(stored, "node", "left").select("source", "node", "residue", F.least(F.ceil(F.col("residue") * omega), F.coalesce("stored", F.lit(0))).alias("used"))
+    need = held.where("residue > 0").join(stored, "node", "left").select("source", "node", "residue", F.least(F.ceil(F.col("residue") * F.col("omega")), F.coalesce("stored", F.lit(0))).alias("used"))
     hop = need.where("used > 0").join(walks.select(F.col("source").alias("node"), "walk_no", "dest"), "node").where("walk_no < used")
     moved = hop.select("source", F.col("dest").alias("node"), (F.col("residue") / F.col("used")).alias("value"))
     rest = need.where("used = 0").select("source", "node", F.col("residue").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_supernode, supernode_name
@@ -82,11 +82,17 @@ def read_roots(spark: SparkSession, path: str) -> DataFrame:
 def write_blocks(rows: DataFrame, member: str, path: str) -> None:
     """Blocks as ``read_blocks`` reads them, one file for each range of supernodes."""
     head = supernode_name(F.col("component"), F.col("level"), F.col("id"))
-    lines = rows.groupBy("component", "level", "id").agg(F.sort_array(F.collect_list(member)).alias("ids"))
-    lines.orderBy("component", "level", "id").select(F.concat_ws("\n", head, F.size("ids").cast("string"), F.concat_ws("\n", F.transform("ids", lambda x: x.cast("string")))).alias("value")).write.text(path)
+    key = ["component", "level", "id"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("size"))
+    first = sizes.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("line")), F.struct(F.lit(1).alias("part"), F.col("size").cast("string").alias("line")))).alias("x"))
+    lines = first.select(*key, "x.part", F.lit(None).cast("long").alias("member"), "x.line")
+    lines = lines.unionByName(rows.select(*key, F.lit(2).alias("part"), F.col(member).cast("long").alias("member"), F.col(member).cast("string").alias("line")))
+    # a line each, in order inside a range of supernodes: no row holds a whole block
+    lines.repartitionByRange(*key).sortWithinPartitions(*key, "part", "member").select(F.col("line").alias("value")).write.text(path)
 
 
 def write_partition(membership: DataFrame, path: str) -> None:
     """Lines ``node community`` with communities renumbered from 0."""
-    ids = membership.select("comm").distinct().withColumn("new", F.row_number().over(Window.orderBy("comm")) - 1)
-    membership.join(ids, "comm").orderBy("node").select(F.concat_ws(" ", "node", "new").alias("value")).write.text(path)
+    from ..operators.graph import dense_ids
+
+    membership.join(dense_ids(membership.select("comm"), "comm"), "comm").orderBy("node").select(F.concat_ws(" ", "node", "new").alias("value")).write.text(path)
