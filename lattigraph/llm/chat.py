@@ -144,6 +144,10 @@ def read_back(assembled: DataFrame) -> DataFrame:
         def fresh(c):
             return [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, ""]
 
+        def end_of(r):
+            if r[6]:
+                raise ValueError(f"conversation {r[0]} ends in what is no turn: {r[6][:80]!r}")
+
         def flush():
             rows = [[r[0], r[1], r[2].hexdigest(), r[3], r[4].hexdigest(), r[5]] for r in done]
             done.clear()
@@ -155,6 +159,7 @@ def read_back(assembled: DataFrame) -> DataFrame:
             for c, segment, begin, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if state is None or c != state[0]:
                     if state is not None:
+                        end_of(state)
                         done.append(state)
                     state = fresh(c)
                 state[6] += segment
@@ -172,6 +177,7 @@ def read_back(assembled: DataFrame) -> DataFrame:
             if done:
                 yield flush()
         if state is not None:
+            end_of(state)
             done.append(state)
             yield flush()
 

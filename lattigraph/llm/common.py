@@ -1,37 +1,23 @@
 """What the training-data operators share: a shared scratch folder, staged tables, key permutations.
 
-Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``; where the setting is
-absent (local tests) a temporary folder of this machine is used and removed at exit. A staged table is a
-written Parquet table: it cuts lineage and survives the loss of executors.
+Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``, as those of the engine's loops do. A staged
+table is a written Parquet table: it cuts lineage and survives the loss of executors.
 """
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="lattigraph-"))
-        atexit.register(shutil.rmtree, _local[0], True)
-    return "file://" + _local[0]
+from ..operators.graph import fresh
+from ..plans.loop import scratch
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -48,18 +34,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that ``df`` does not have."""
-    have = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in have:
-            name += "_"
-        have.add(name.lower())
-        out.append(name)
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

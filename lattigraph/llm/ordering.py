@@ -2,12 +2,15 @@
 
 Documents are packed into sequences (operator 2). A keyed Feistel permutation with cycle walking gives every
 sequence a global slot, so slots and sequences can be computed from each other without a table. Slots are cut
-into ranges of ``per_shard``; the pieces of a range are sent straight to its own partition (their number is
-known, so nothing is sampled), sorted by slot and offset, and written in one pass to one file of fixed-stride
+into ranges of ``per_shard``, a file each; a task writes the files of neighbouring ranges, up to ``TASK_BYTES``, so that
+partitions grow with the data over that size and not with the number of files. Pieces are sent straight to the
+partition of their range (the number of slots is known, so nothing is sampled), sorted by slot and offset, and written in one pass as fixed-stride
 records: the record of slot s lies in file s div per_shard at byte (s mod per_shard) * stride. A reader can
 thus resume anywhere. A file is written under the task attempt's own name and renamed when whole, so a lost
 executor leaves no partial shard.
 
+Sequences are numbered in the order of packing, that of the input's files and rows: other files give other sequences.
+
 Defined results: as in packing; the last sequence is filled up with ``pad``; an empty table yields no rows.
 """
 
@@ -28,6 +31,7 @@ from .packing import END, LENGTH, VOCABULARY, cut, tokenize
 
 KEY = "training-order-1"
 PER_SHARD = 1024
+TASK_BYTES = 256 << 20
 
 
 @dataclass
@@ -91,7 +95,7 @@ def _rename(a: str, b: str) -> None:
         store.move(inner, fs.FileSystem.from_uri(b)[1])
 
 
-def materialise(docs: DataFrame, folder: str | None = None, key: str = KEY, per_shard: int = PER_SHARD, length: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, pad: int = 0, dtype: str = "<u2") -> Shards:
+def materialise(docs: DataFrame, folder: str | None = None, key: str = KEY, per_shard: int = PER_SHARD, length: int = LENGTH, vocabulary: str = VOCABULARY, end: int = END, pad: int = 0, dtype: str = "<u2", task_bytes: int = TASK_BYTES) -> Shards:
     """Write all sequences of ``docs`` in training order."""
     spark = docs.sparkSession
     tokens = tokenize(docs, vocabulary, end, dtype)
@@ -102,19 +106,30 @@ def materialise(docs: DataFrame, folder: str | None = None, key: str = KEY, per_
     n_shards = max(1, -(-n_seq // per_shard))
     stride = length * np.dtype(dtype).itemsize
 
+    # enough tasks for all cores, and no more bytes in a task than asked for
+    span = max(1, min(task_bytes // (per_shard * stride), -(-n_shards // (2 * spark.sparkContext.defaultParallelism))))
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         me = TaskContext.get().taskAttemptId()
-        out, temporary, final, shard, records, now, filled = None, "", "", -1, 0, -1, 0
+        out, shard, records, now, filled, done = None, -1, 0, -1, 0, []
         filler = np.full(length, pad, dtype).tobytes()
+
+        def close() -> None:
+            out.write(filler[filled:])
+            out.close()
+            final = f"{folder}/{shard:08d}.bin"
+            _rename(f"{final}.{me}", final)
+            done.append((shard, shard * per_shard, records, records * stride, final))
+
         for batch in batches:
             for slot, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if out is None:
-                    shard = slot // per_shard
-                    final = f"{folder}/{shard:08d}.bin"
-                    temporary = f"{final}.{me}"
-                    out = _open(temporary, "wb")
+                if slot // per_shard != shard:
+                    if out is not None:
+                        close()
+                    shard, records, now, filled = slot // per_shard, 0, -1, 0
+                    out = _open(f"{folder}/{shard:08d}.bin.{me}", "wb")
                 if slot != now:
                     if filled:
                         out.write(filler[filled:])
@@ -122,13 +137,12 @@ def materialise(docs: DataFrame, folder: str | None = None, key: str = KEY, per_
                 out.write(ids)
                 filled += len(ids)
         if out is not None:
-            out.write(filler[filled:])
-            out.close()
-            _rename(temporary, final)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([shard * per_shard]), pa.array([records]), pa.array([records * stride]), pa.array([final])], ["shard", "first_slot", "records", "bytes", "path"])
+            close()
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["shard", "first_slot", "records", "bytes", "path"])
 
     pieces = cut(tokens, length, with_ids=True, extra=("slot", Feistel(n_seq, key).forward))
-    routed = pieces.select("slot", "offset", "ids").repartitionById(n_shards, (F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "offset")
+    routed = pieces.select("slot", "offset", "ids").repartitionById(-(-n_shards // span), F.floor(F.col("slot") / (per_shard * span)).cast("int")).sortWithinPartitions("slot", "offset")
     manifest, _ = staged(routed.mapInArrow(write, "shard long, first_slot long, records long, bytes long, path string"), "manifest")
     drop(spark, tokens.path)
     return Shards(manifest, folder, n_seq, tokens.total, length, per_shard, dtype, key)

@@ -5,17 +5,21 @@ A linear scorer is trained to minimise the non-negative unbiased risk
     prior * E_p[l(s)] + max(0, E_u[l(-s)] - prior * E_p[l(-s)]),   l(z) = log(1 + exp(-z)),
 
 with trusted positives (label 1), unlabelled web text and an estimated class prior. When the second term is
-negative the step goes against it, as in the published algorithm. The prior is the share of label 1
-among the learning rows, the only use made of label 0.
+negative the step goes against it, as in the published algorithm. Label 0 is never used.
+
+The prior is estimated from positives and unlabelled text alone (best bin): a scorer fitted on one half of both scores the
+other; above a score c lie shares p(c) of the positives and u(c) of the unlabelled, so the prior is at most about u(c) / p(c), and
+the c is taken at which this bound, widened by the error of both shares, is smallest. Both halves take turns.
 
 Learning rows are those whose crc32(doc_id as text) mod 5 is not 0. At most ``sample`` positives and ``sample`` unlabelled
-documents, drawn by a hash of their id, are used for fitting: a documented bound. Scoring covers every text.
+documents, drawn by a hash of their id, are used for fitting: a documented bound. Of rows with one id one text is
+used. Scoring covers every text.
 
 Features come from the whole text alone: shares of its bytes, hashed shares of byte pairs, and a few counts of
 words and lines. labels, lang, source and doc_id are no features.
 
 Defined results: a null text counts as empty; an empty text has zero features and so the bias's score;
-repeated rows are scored each; with no positives every score is the prior; an empty table yields no rows;
+repeated rows are scored each; with no positives every score is one half; an empty table yields no rows;
 ``filter_quality`` keeps the input's columns whatever their names.
 """
 
@@ -98,24 +102,47 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
     w, b = np.zeros(SIZE, np.float32), 0.0
     m, v = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-        loss = lambda p: -np.log(np.maximum(p, 1e-12))
-        negative = loss(1 - su).mean() - prior * loss(1 - sp).mean()
-        # d l(s) = -(1 - p), d l(-s) = p
-        gp, gneg_p, gneg_u = -(1 - sp) / len(sp), sp / len(sp), su / len(su)
-        if negative >= 0:
-            cp, cu = prior * gp - prior * gneg_p, gneg_u
-        else:
-            cp, cu = prior * gneg_p, -gneg_u
-        grad = np.append(xp.T @ cp + xu.T @ cu + decay * w, cp.sum() + cu.sum())
+        grad = risk(xp, xu, w, b, prior)[2] + np.append(decay * w, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - float(step[-1])
     return Model(w, b, mean, scale)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled, by the best bin of either half; ``doubt`` is the chance that errors exceed
+    their bounds."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        model = fit(positive[k::2], unlabelled[k::2], 0.5)
+        p, u = np.sort(model.score(positive[1 - k :: 2])), np.sort(model.score(unlabelled[1 - k :: 2]))
+        c = np.unique(p)
+        above_p, above_u = 1 - np.searchsorted(p, c) / len(p), 1 - np.searchsorted(u, c) / len(u)
+        error = sum((np.log(4 / doubt) / (2 * len(x))) ** 0.5 for x in (p, u))
+        best = np.argmin((above_u + error) / above_p)
+        found.append(above_u[best] / above_p[best])
+    return float(min(max(np.mean(found), 0.01), 0.99))
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """The two terms of the risk of scores x @ w + b, and the gradient by (w, b) of the step: of their sum where the second is not
+    negative, else of the second with its sign changed."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    loss = lambda p: -np.log(np.maximum(p, 1e-12)).mean()
+    sp, su = sigmoid(positive @ w + b), sigmoid(unlabelled @ w + b)
+    negative = loss(1 - su) - prior * loss(1 - sp)
+    # d l(s) = -(1 - p), d l(-s) = p
+    cp, cu = -prior * sp / len(sp), su / len(su)
+    if negative < 0:
+        cp, cu = -cp, -cu
+    else:
+        cp = cp - prior * (1 - sp) / len(sp)
+    return prior * loss(sp), negative, np.append(positive.T @ cp + unlabelled.T @ cu, cp.sum() + cu.sum())
+
+
 def held_out():
     """Whether a row is kept from learning."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -124,11 +151,6 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on learning rows of ``docs``; ``sample`` bounds what is gathered."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    n, ones = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    if not n:
-        return fit(np.zeros((0, SIZE)), np.zeros((0, SIZE)), 0.5)
-    prior = min(max(ones / n, 0.01), 0.99)
-
     def draw(df: DataFrame, salt: int) -> DataFrame:
         return df.select("doc_id").dropDuplicates().orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample)
 
@@ -143,10 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "positive", "x"])
 
     # the drawn ids are bounded by 2 * sample, so they may be broadcast
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive").mapInArrow(vectors, "doc_id long, positive int, x binary").collect()
+    one = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    rows = one.select("doc_id", "text", "positive").mapInArrow(vectors, "doc_id long, positive int, x binary").collect()
     rows.sort(key=lambda r: (r.positive, r.doc_id, r.x))
     take = lambda k: np.stack([np.frombuffer(r.x, "<f2").astype(np.float32) for r in rows if r.positive == k]) if any(r.positive == k for r in rows) else np.zeros((0, SIZE), np.float32)
-    return fit(take(1), take(0), prior)
+    positive, unlabelled = take(1), take(0)
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -35,10 +35,10 @@ def byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """Encodes texts with a tokenizer whose pieces never reach over white space.
 
-    Texts are cut at spaces and line feeds, which such a tokenizer drops; the ids of every chunk are kept in
-    a bounded cache, so that a repeated word costs one look-up. With the word vocabulary's split pattern, a new chunk
-    of plain Latin text is cut into pieces whose ids are kept as well; anything else goes through the
-    whole tokenizer. Each text is encoded whole.
+    With the word vocabulary's split pattern, which is proven to part and drop white space, texts are cut at spaces
+    and line feeds; the ids of every chunk are kept in a bounded cache, so that a repeated word costs one look-up. A new chunk
+    of plain Latin text is cut into pieces whose ids are kept as well; any other chunk goes through the
+    whole tokenizer, and so does every text with any other vocabulary. Each text is encoded whole.
     """
 
     def __init__(self, name: str, dtype: str = "<u2", most: int = 400_000):
@@ -52,7 +52,8 @@ class ChunkEncoder:
         with open(path) as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_piece = steps[0].get("pattern") == {"Regex": WORD_PATTERN}
+        #: pieces are known to end at white space, which is dropped; any other vocabulary encodes whole texts
+        self.by_piece = steps[0].get("pattern") == {"Regex": WORD_PATTERN} and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
         self.special = tuple(t["content"] for t in spec.get("added_tokens", ()))
         self.letters = byte_letters()
         self.model = self.tokenizer.model
@@ -66,16 +67,15 @@ class ChunkEncoder:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.by_piece:  # letters, and perhaps marks behind them: most chunks
-            low = chunk.lower()
-            word = low.rstrip(_MARKS)
-            if word.isalpha() and (word.isascii() or max(word) <= "\u024f"):
-                ids = self.pieces.get(word) or self._piece(word)
-                if len(word) == len(low):
-                    return ids
-                marks = low[len(word) :]
-                return ids + (self.pieces.get(marks) or self._piece(marks))
-        if self.by_piece and chunk.isprintable() and not any(s in chunk for s in self.special):
+        low = chunk.lower()  # letters, and perhaps marks behind them: most chunks
+        word = low.rstrip(_MARKS)
+        if word.isalpha() and (word.isascii() or max(word) <= "\u024f"):
+            ids = self.pieces.get(word) or self._piece(word)
+            if len(word) == len(low):
+                return ids
+            marks = low[len(word) :]
+            return ids + (self.pieces.get(marks) or self._piece(marks))
+        if chunk.isprintable() and not any(s in chunk for s in self.special):
             if chunk.isascii():
                 found = _ASCII.findall(chunk.lower())
             elif max(chunk) <= "\u024f":
@@ -89,6 +89,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: empty) as little-endian bytes, without special tokens."""
+        if not self.by_piece:
+            found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(f.ids, self.dtype).tobytes() for f in found]
         out = []
         for text in texts:
             chunks = text.replace("\n", " ").split(" ") if text else []

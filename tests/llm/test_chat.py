@@ -56,3 +56,10 @@ def test_offsets_find_the_loss(spark):
     turns = chat.assemble(chat.format_turns(df)).orderBy("seq").collect()
     whole = "".join(t.segment for t in turns)
     assert "".join(whole[t.offset + t.loss_from : t.offset + t.loss_to] for t in turns if t.loss_from is not None) == chat.escape(ROWS[1][3])
+
+
+def test_what_is_no_turn_is_not_passed_over(spark):
+    turns = chat.format_turns(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string"))
+    broken = chat.assemble(turns.withColumn("segment", F.concat("segment", F.lit("left over"))))
+    with pytest.raises(Exception, match="no turn"):
+        chat.read_back(broken).collect()

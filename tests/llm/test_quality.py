@@ -15,6 +15,53 @@ def test_risk_learns_from_positives_and_unlabelled():
     assert model.score(good).min() > 0.5 > model.score(bad[100:]).max()
 
 
+@pytest.mark.parametrize("mean", [1.0, -1.0])
+def test_gradient_of_the_risk(mean):
+    """Against differences, on both sides of the sign change; the terms by their definition."""
+    r = np.random.default_rng(4)
+    p, u, w, b, prior = r.normal(mean, 1, (40, 6)), r.normal(-mean, 1, (70, 6)), np.full(6, 0.3), 0.1, 0.6
+    positive, negative, grad = quality.risk(p, u, w, b, prior)
+    loss = lambda z: np.log1p(np.exp(-z)).mean()
+    assert positive == pytest.approx(prior * loss(p @ w + b)) and negative == pytest.approx(loss(-(u @ w + b)) - prior * loss(-(p @ w + b)))
+    assert (negative < 0) == (mean > 0)
+
+    def value(v):
+        a, n, _ = quality.risk(p, u, v[:-1], v[-1], prior)
+        return a + n if negative >= 0 else -n
+
+    at = np.append(w, b)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-5
+        assert grad[i] == pytest.approx((value(at + step) - value(at - step)) / 2e-5, abs=1e-5)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.85])
+def test_prior_from_positives_and_unlabelled(prior):
+    r = np.random.default_rng(5)
+    good, bad = r.normal(0.25, 0.5, (4000, quality.SIZE)), r.normal(-0.25, 0.5, (4000, quality.SIZE))
+    n = int(4000 * prior)
+    mixed = np.vstack([good[:n], bad[: 4000 - n]])[r.permutation(4000)]
+    fresh = r.normal(0.25, 0.5, (2000, quality.SIZE))
+    assert quality.estimate_prior(fresh.astype(np.float32), mixed.astype(np.float32)) == pytest.approx(prior, abs=0.05)
+
+
+def test_scores_by_hand():
+    model = quality.Model(np.arange(quality.SIZE) / 300, -0.4, np.full(quality.SIZE, 0.01), np.full(quality.SIZE, 2.0))
+    x = quality.features("Some words.")
+    z = sum((x[i] - 0.01) / 2 * i / 300 for i in range(quality.SIZE)) - 0.4
+    assert model.score(x[None])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+    raw = b"Some words."
+    assert x[ord("o")] == pytest.approx((raw.count(b"o") / (len(raw) + quality.SMOOTH)) ** 0.5)
+
+
+def test_repeated_ids_are_gathered_once(spark):
+    """However many rows an id has, one text of it is learnt from."""
+    rows = [(i, words(i, 40)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    once, often = quality.train(frame(spark, rows), labels), quality.train(frame(spark, rows + rows[:6] * 50), labels)
+    assert np.allclose(once.weights, often.weights) and once.bias == often.bias
+
+
 def test_end_to_end(spark):
     good = [(i, words(i, 80)) for i in range(0, 240)]
     junk = [(i, "!! ".join(words(i, 80).upper().split())) for i in range(240, 300)]

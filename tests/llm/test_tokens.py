@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattigraph.llm import ordering, packing, sharding
+from lattigraph.llm import ordering, packing, sharding, tokens
 from lattigraph.llm.common import Feistel
 from lattigraph.llm.tokens import ChunkEncoder
 
@@ -91,11 +91,12 @@ def test_sequences_are_padded(spark):
         assert len(r.ids) == 2 * (r.n_tokens if r.n_tokens & (r.n_tokens - 1) == 0 else 512) and r.boundaries[0] == 0
 
 
-def test_training_order(spark):
-    df = frame(spark, awkward())
+def test_training_order(spark, tmp_path):
+    frame(spark, awkward()).write.parquet(f"file://{tmp_path}/docs")
+    df = spark.read.parquet(f"file://{tmp_path}/docs")
     want = {}
-    tokens = packing.tokenize(df)
-    for p in packing.cut(tokens, 256, with_ids=True).orderBy("sequence_id", "offset").collect():
+    table = packing.tokenize(df)
+    for p in packing.cut(table, 256, with_ids=True).orderBy("sequence_id", "offset").collect():
         want[p.sequence_id] = want.get(p.sequence_id, b"") + bytes(p.ids)
     shards = ordering.materialise(df, per_shard=5, length=256)
     got = shards.read().orderBy("slot").collect()
@@ -103,8 +104,9 @@ def test_training_order(spark):
     order = Feistel(len(want), ordering.KEY)
     assert sorted(r.sequence_id for r in got) == sorted(want)
     assert all(order.forward([r.sequence_id])[0] == r.slot for r in got)
-    # pass one of either run may see the partitions in another order, so contents are held against the stream as a set
-    assert sorted(map(len, want.values())) == sorted(len(r.ids) for r in got)
+    assert all(bytes(r.ids) == want[r.sequence_id] for r in got), "every record holds its sequence"
+    few = ordering.materialise(df, per_shard=5, length=256, task_bytes=1)
+    assert [tuple(r) for r in few.read().orderBy("slot").collect()] == [tuple(r) for r in got], "files do not depend on tasks"
     path, at = shards.locate(7)
     with open(path.removeprefix("file://"), "rb") as f:
         f.seek(at)
@@ -129,5 +131,20 @@ def test_sharding(spark):
     assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
     want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in rows)
     assert sorted((r.size, r.text_crc32) for r in got) == want
+    order = Feistel(len(rows), sharding.KEY)
+    ranked = sorted(((i is not None, i or 0), zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t in rows)
+    by_hand = sorted((*ranked[n], int(p) % 5, int(p) // 5) for n, p in enumerate(order.forward(np.arange(len(rows)))))
+    assert by_hand == sorted(((r.doc_id is not None, r.doc_id or 0), r.text_crc32, r.size, r.shard, r.slot) for r in got), "the place is the permuted number"
     assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
     assert sharding.shard(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name, dtype", [("byte_bpe_50k.json", "<u2"), ("word_bpe_49k.json", "<u4")])
+def test_other_vocabularies_are_encoded_as_their_tokenizer_does(name, dtype):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.vocabulary_path(name))
+    texts = ["Hello world, this is\na test  of ids", " lead", "tail \n\n", None, "", "a\t\u00a0b  c", *(t for _, t in awkward()[:9])]
+    got = tokens.ChunkEncoder(name, dtype).encode(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, dtype).tolist() == whole.encode(text or "", add_special_tokens=False).ids
