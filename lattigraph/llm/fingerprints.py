@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import drop, staged, table
 from .sharding import numbered
 
-SAMPLES = 32
+SAMPLES = 40
 #: Samples that one expanded row of a term updates.
 WIDTH = 8
 #: The smallest a of a text is exponential in the sum of its weights: with a probability of exp(-SURE) it is above SURE over
