@@ -51,3 +51,8 @@ def test_names_and_uniform(spark):
     assert tuple(df.select(*parse_supernode(F.lit("c0_x"))).first()) == (None, None, None)
     u = [r[0] for r in spark.range(2000).select(uniform(3, F.col("id"))).collect()]
     assert 0 < min(u) < max(u) < 1 and abs(sum(u) / len(u) - 0.5) < 0.03
+
+
+def test_renumber_takes_columns_of_any_name(spark):
+    e = spark.createDataFrame([(5, 9, 1, 2), (9, 30, 3, 4)], "src long, dst long, a int, new_src int")
+    assert sorted(map(tuple, graph.renumber(e).collect())) == [(0, 1, 1, 2), (1, 2, 3, 4)]

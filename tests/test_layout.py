@@ -138,3 +138,41 @@ def test_estimator(spark):
     assert np.abs(plane.distances(p) - plane.distances(truth)).max() < 0.05
     with pytest.raises(ValueError):
         layout.StressMDS("cosine")
+
+
+def test_pair_metrics_by_sectors_and_cells(spark):
+    """Angular resolution and crossings against all pairs, with coinciding and aligned points."""
+    r = np.random.default_rng(8)
+    xy = [(float(x), float(y)) for x, y in r.integers(0, 9, (24, 2))]
+    edges = sorted({(min(a, b), max(a, b)) for a, b in r.integers(0, 24, (60, 2)).tolist() if a != b})
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(xy)], "node long, x double, y double")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    total = 0.0
+    for v, ends in near.items():
+        for i, a in enumerate(ends):
+            for b in ends[:i]:
+                p, q = (np.subtract(xy[u], xy[v]) for u in (a, b))
+                if np.linalg.norm(p) and np.linalg.norm(q):
+                    angle = np.degrees(np.arccos(np.clip(p @ q / np.linalg.norm(p) / np.linalg.norm(q), -1, 1)))
+                    total += 1 - min(15.0, angle) ** 2 / 225
+    arcs = e.unionByName(e.selectExpr("dst as src", "src as dst"))
+    assert metrics.angular_resolution(arcs, points).first()[0] == pytest.approx(total, abs=1e-9)
+
+    def side(a, b, c):
+        v = (b[1] - a[1]) * (c[0] - b[0]) - (b[0] - a[0]) * (c[1] - b[1])
+        return (v > 0) - (v < 0)
+
+    def on(a, b, c):
+        return min(a[0], c[0]) <= b[0] <= max(a[0], c[0]) and min(a[1], c[1]) <= b[1] <= max(a[1], c[1])
+
+    def meet(a, b, c, d):
+        o = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+        return o[0] != o[1] and o[2] != o[3] or not o[0] and on(a, c, b) or not o[1] and on(a, d, b) or not o[2] and on(c, a, d) or not o[3] and on(c, b, d)
+
+    want = {(s, t) for s in edges for t in edges if s > t and not set(s) & set(t) and meet(*(xy[u] for u in (*s, *t)))}
+    got = {((x.a_src, x.a_dst), (x.b_src, x.b_dst)) for x in metrics.crossings(e, points).collect()}
+    assert {tuple(sorted(p, reverse=True)) for p in got} == want and len(got) == len(want)

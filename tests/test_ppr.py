@@ -185,3 +185,53 @@ def test_weighted_walks_agree_between_engines(spark):
     assert np.abs(share["csr"] - share["join"]).max() < 0.02
     low, high = (share[e][0, 1:50].sum() for e in ("csr", "join"))
     assert abs(low - high) < 0.02
+
+
+@pytest.mark.parametrize("method", ["fora", "foraplus"])
+def test_walk_methods_by_joins(spark, method):
+    """Beyond one task the same methods run as joins: as close to the exact values, with and without stored walks."""
+    a = settle(graph.symmetric(edges_df(spark, random_edges(20, 26))))
+    nodes = settle(graph.nodes(a).where("node < 3"))
+    want = dense(ppr.dppr(a, nodes, targets=nodes), 20)[:3, :3]
+    stored = None
+    if method == "fora":
+        acc = approx.accuracy(a, 4)
+        stored = settle(walks.walk_index(a, *acc.index_threshold(acc.mean_degree)))
+    got = dense(approx.leaf_dppr(a, nodes, method, k=4, engine="join", index=stored), 20)[:3, :3]
+    assert np.abs(got - want).max() < 0.1
+
+
+def test_residue_accumulation_by_joins(spark):
+    edges = random_edges(14, 18)
+    a = settle(graph.symmetric(edges_df(spark, edges)))
+    g = compact(a).value
+    leaves = graph.nodes(a).where("node in (0, 3)")
+    state = push.accumulated_state(a, leaves, hops=1, tiny=1e-3)
+    reserve, residue = dense(state, 14, "reserve"), dense(state, 14, "residue")
+    for leaf in (0, 3):
+        x = np.zeros(g.n)
+        x[g.index([leaf])[0]] = 1.0
+        r, s = push.accumulated_residue(g, x, hops=1, tiny=1e-3)
+        assert np.allclose(reserve[leaf, g.ids], r) and np.allclose(residue[leaf, g.ids], s)
+        assert (reserve[leaf] + residue[leaf]).sum() == pytest.approx(1.0)
+
+
+def test_walks_carry_on_from_a_number(spark, arcs):
+    whole = walks.walks(arcs, spark.createDataFrame([(0, 9)], "node long, count long"), engine="join")
+    rest = walks.walks(arcs, spark.createDataFrame([(0, 9, 4)], "node long, count long, first long"), engine="join")
+    assert sorted(whole.where("walk_no >= 4").collect()) == sorted(rest.collect()) and rest.count() == 5
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lattigraph.plans import loop
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: named), sparkContext=context)
+
+    assert loop.scratch(session("spark://host:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    assert loop.scratch(session("local[2]")).startswith("file://")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        loop.scratch(session("spark://host:7077"))
