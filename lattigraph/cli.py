@@ -12,10 +12,10 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import approx, cluster, graph, layout, metrics
+from .operators import cluster, graph, layout, metrics, ppr
 from .plans.loop import settle
 from .plans.zoom import Atlas
-from .sources import binary, text
+from .sources import binary, index, text
 
 
 def _session() -> SparkSession:
@@ -72,15 +72,33 @@ def dppr(o) -> dict:
     spark = _session()
     arcs = settle(graph.symmetric(text.read_edges(spark, o.edges)))
     atlas = Atlas(arcs, text.read_membership(spark, o.mapping), text.read_hierarchy(spark, o.hierarchy), o.k, o.method, o.seed)
+    atlas.alpha = o.alpha
+    indexed = o.method in ("fora", "foraplus", "foratp")
+    if o.build:
+        began = time.time()
+        if o.method == "taupush":
+            index.save_backward(atlas.backward_index(), atlas.leaves(), f"{o.build}/backward")
+        elif indexed:
+            atlas.walk_index().write.mode("overwrite").parquet(f"{o.build}/walks")
+        index.save_dnpr(ppr.dnpr_closed(arcs, alpha=o.alpha), f"{o.build}/dnpr")
+        return {"index": o.build, "seconds": time.time() - began}
     if o.method == "taupush":
-        leaves = atlas.membership.where("level = 1").select(F.col("leaf").alias("node"), F.col("id").alias("comm"))
-        atlas.backward = settle(approx.backward_index(arcs, leaves, o.k))
+        atlas.backward = index.load_backward(spark, f"{o.index}/backward") if o.index else settle(atlas.backward_index())
+    elif indexed and o.index:
+        atlas.walks = spark.read.parquet(f"{o.index}/walks")
+    ways = None
+    if o.hubs:  # the clusters of the nodes of highest DNPR instead of random ways down
+        dnpr = index.load_dnpr(spark, f"{o.index}/dnpr") if o.index else ppr.dnpr_closed(arcs, alpha=o.alpha)
+        ways = [r.comm for r in cluster.top_k_hubs(dnpr, atlas.leaves(), o.sample).orderBy("rank").collect()]
     out = []
-    for i in range(o.sample):
+    for i in range(o.sample if ways is None else len(ways)):
         began = time.time()
-        atlas.seed = o.seed + i
-        rows = sum(df.count() for _, _, df in atlas.path(embed=o.embed))
-        out.append({"seconds": time.time() - began, "rows": rows})
+        if ways is None:
+            atlas.seed = o.seed + i
+            rows = sum(df.count() for _, _, df in atlas.path(embed=o.embed))
+        else:
+            rows = (atlas.zoom if o.embed else atlas.proximity)(0, 1, ways[i]).count()
+        out.append({"seconds": time.time() - began, "rows": rows} | ({} if ways is None else {"hub": ways[i]}))
     return {"paths": out}
 
 
@@ -104,7 +122,7 @@ def main(args: list[str] | None = None) -> None:
     command("view", view, edges=str, mapping=str, hierarchy=str, supernode=str, method="taupush", k=25, seed=2, out="view.svg")
     command("convert", convert, edges=str, out=str, weighted=False, renumber=False)
     command("cluster", cluster_command, edges=str, out=str, method="louvainplus", k=25, seed=1, hard_cap=False, all_components=False)
-    command("dppr", dppr, edges=str, mapping=str, hierarchy=str, method="taupush", k=25, sample=1, embed=False, seed=2)
+    command("dppr", dppr, edges=str, mapping=str, hierarchy=str, method="taupush", k=25, sample=1, embed=False, seed=2, alpha=0.2, hubs=False, build=None, index=None)
     o = p.parse_args(args)
     print(json.dumps(o.run(o)))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import approx, cluster, graph, layout, ppr
+from ..operators import approx, cluster, graph, layout, ppr, walks
 from .loop import settle
 
 
@@ -23,6 +23,9 @@ class Atlas:
     seed: int = 2
     backward: DataFrame | None = None
     n: int = field(default=0)
+    #: stored walks (source, walk_no, dest); with them the push-and-walk methods run as joins
+    walks: DataFrame | None = None
+    alpha: float = ppr.ALPHA
 
     @classmethod
     def build(cls, edges: DataFrame, k: int = 25, method: str = "taupush", seed: int = 2, **how) -> "Atlas":
@@ -31,10 +34,22 @@ class Atlas:
         membership, hierarchy = cluster.louvain_plus(arcs, k, seed, **how)
         atlas = cls(arcs, membership, hierarchy, k, method, seed)
         if method == "taupush":
-            leaves = membership.where("level = 1").select(F.col("leaf").alias("node"), F.col("id").alias("comm"))
-            atlas.backward = settle(approx.backward_index(arcs, leaves, k))
+            atlas.backward = settle(atlas.backward_index())
         return atlas
 
+    def leaves(self) -> DataFrame:
+        """(node, comm): level-1 clusters."""
+        return self.membership.where("level = 1").select(F.col("leaf").alias("node"), F.col("id").alias("comm"))
+
+    def backward_index(self) -> DataFrame:
+        return approx.backward_index(self.arcs, self.leaves(), self.k, self.alpha)
+
+    def walk_index(self) -> DataFrame:
+        """The walks that ``method`` asks of an index: those of foratp for k leaves at once, of foraplus with a forced first hop."""
+        acc = approx.accuracy(self.arcs, self.k)
+        spread = acc.mean_degree * (self.k if self.method == "foratp" else 1)
+        return walks.walk_index(self.arcs, *acc.index_threshold(spread), self.alpha, self.seed, plus=self.method == "foraplus")
+
     def __post_init__(self):
         self.n = self.n or graph.nodes(self.arcs).count()
 
@@ -46,8 +61,8 @@ class Atlas:
         """(source, target, value) between the children of a supernode."""
         members = settle(self.children(component, level, ident))
         if level == 1:
-            return approx.leaf_dppr(self.arcs, members.select("node"), self.method, self.k, seed=self.seed, backward=self.backward).withColumnRenamed("node", "target")
-        return approx.super_dppr(self.arcs, members, self.method, self.k, seed=self.seed)
+            return approx.leaf_dppr(self.arcs, members.select("node"), self.method, self.k, self.alpha, self.seed, backward=self.backward, index=self.walks).withColumnRenamed("node", "target")
+        return approx.super_dppr(self.arcs, members, self.method, self.k, self.alpha, self.seed, index=self.walks)
 
     def zoom(self, component: int, level: int, ident: int) -> DataFrame:
         """(node, x, y, stress, r) of the children."""
@@ -61,8 +76,7 @@ class Atlas:
 
     def hubs(self, k: int | None = None) -> DataFrame:
         """The level-1 clusters of the k nodes of highest DNPR."""
-        leaves = self.membership.where("level = 1").select(F.col("leaf").alias("node"), F.col("id").alias("comm"))
-        return cluster.top_k_hubs(ppr.dnpr_closed(self.arcs), leaves, k or self.k)
+        return cluster.top_k_hubs(ppr.dnpr_closed(self.arcs, alpha=self.alpha), self.leaves(), k or self.k)
 
     def whole(self) -> DataFrame:
         """All nodes as one cluster, exactly; for small graphs."""

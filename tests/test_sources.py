@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 
@@ -105,3 +107,10 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["dppr", "--edges", str(f), "--mapping", str(tmp_path / "h/mapping"), "--hierarchy", str(tmp_path / "h/hierarchy"), "--k", "4", "--method", "fora"])
     lines = capsys.readouterr().out.strip().splitlines()
     assert len(lines) == 5 and '"nd"' in lines[0] and '"n": 10' in lines[2] and (tmp_path / "p.svg").read_text().startswith("<svg")
+    common = ["dppr", "--edges", str(f), "--mapping", str(tmp_path / "h/mapping"), "--hierarchy", str(tmp_path / "h/hierarchy"), "--k", "4"]
+    for method in ("taupush", "fora"):
+        cli.main([*common, "--method", method, "--build", str(tmp_path / method)])
+        capsys.readouterr()
+        cli.main([*common, "--method", method, "--index", str(tmp_path / method), "--hubs", "--sample", "2"])
+        found = json.loads(capsys.readouterr().out)["paths"]
+        assert len(found) == 2 and all(p["rows"] > 0 and p["hub"] >= 0 for p in found)
