@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattigraph.llm.common import staged, table
+from lattigraph.llm.common import drop, staged, table
 from lattigraph.llm.decontamination import decontaminate
 from lattigraph.llm.near_dedup import deduplicate
 from lattigraph.llm.packing import pack
@@ -41,7 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(spark, *before)
+        before = [path]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop(spark, *before)  # packing has written the ids that it reads
+    return out
