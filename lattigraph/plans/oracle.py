@@ -205,7 +205,7 @@ def oracles() -> dict[str, str]:
         "components_rounds": f"WITH {leaves} SELECT node, comp FROM chain_comp WHERE size > 1",
         "walk_index_counts": f"WITH {PS_ARCS}, {NORM}, {SIZE}, lim AS (SELECT *, mean * delta AS md, 2 + 2 * ({e}) / 3 AS c, ln(n) AS fail FROM small), t AS (SELECT ({e}) * sqrt(md * mean / (c * 2 * m * fail)) AS rmax, c * fail / (md * ({e}) * ({e})) AS omega FROM lim) SELECT node AS source, ceil(d * rmax * omega)::BIGINT AS walks FROM wdeg CROSS JOIN t",
         "walk_methods_bound": within("fora", "foraplus", "foratp", "foraresacc"),
-        "walk_methods_bound_join": within("foratp"),
+        "walk_methods_bound_join": within("fora"),
         "fora_indexed_bound": within("fora"),
         "source_edge_list": out["edges_canonical"],
         "source_weighted_edge_list": f"WITH {TRADE} SELECT src, dst, weight FROM trade",

@@ -301,7 +301,7 @@ def walk_methods_bound(t):
 
 @query
 def walk_methods_bound_join(t):
-    return _within(t, "join", ("foratp",))
+    return _within(t, "join", ("fora",))
 
 
 @query
