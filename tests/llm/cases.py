@@ -1,10 +1,13 @@
 """Awkward documents that every operator has to take."""
 
+import functools
+
 import numpy as np
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, row long, key long, score double, n long"
 
 
+@functools.cache
 def words(seed, n, vocabulary=400):
     r = np.random.default_rng(seed)
     names = ["".join(r.choice(list("abcdefghiklmnoprstuvé"), r.integers(2, 8))) for _ in range(vocabulary)]

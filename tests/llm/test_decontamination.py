@@ -64,7 +64,7 @@ def test_recall_against_brute_force(share):
 @pytest.mark.parametrize("size", [5, 9, 16, 20, 24, 25, 40, 80, 200, 300])
 def test_recall_at_the_largest_distance(size, deletions):
     """Every item is planted once with all the edits it may have."""
-    items, hit, want = [(i, words(100 * size + i, size)) for i in range(60)], 0, 0
+    items, hit, want = [(i, words(100 * size + i, size)) for i in range(40)], 0, 0
     index = dc.LeakIndex(items)
     rows = []
     for i, text in items:
@@ -76,7 +76,7 @@ def test_recall_at_the_largest_distance(size, deletions):
         if d <= int(0.2 * size):
             want += 1
             hit += {g[0]: g[2] for g in got}.get(i) == d
-    assert want > 50 and hit >= 0.99 * want
+    assert want > 35 and hit >= 0.99 * want
 
 
 def test_more_walks_for_more_edits():
