@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +135,7 @@ def materialise(docs: DataFrame, folder: str | None = None, key: str = KEY, per_
                     if filled:
                         out.write(filler[filled:])
                     now, filled, records = slot, 0, records + 1
+                ids = zstandard.decompress(ids)
                 out.write(ids)
                 filled += len(ids)
         if out is not None:
@@ -141,7 +143,8 @@ def materialise(docs: DataFrame, folder: str | None = None, key: str = KEY, per_
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["shard", "first_slot", "records", "bytes", "path"])
 
-    pieces = cut(tokens, length, with_ids=True, extra=("slot", Feistel(n_seq, key).forward))
+    # ids are shuffled in compressed form
+    pieces = cut(tokens, length, with_ids=True, extra=("slot", Feistel(n_seq, key).forward), coded=zstandard.compress)
     routed = pieces.select("slot", "offset", "ids").repartitionById(-(-n_shards // span), F.floor(F.col("slot") / (per_shard * span)).cast("int")).sortWithinPartitions("slot", "offset")
     manifest, _ = staged(routed.mapInArrow(write, "shard long, first_slot long, records long, bytes long, path string"), "manifest")
     drop(spark, tokens.path)

@@ -76,10 +76,11 @@ def _cuts(start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ..
     return row, begin - start[row], size, seq, begin - seq * length
 
 
-def cut(tokens: TokenTable, length: int = LENGTH, with_ids: bool = False, extra=None) -> DataFrame:
+def cut(tokens: TokenTable, length: int = LENGTH, with_ids: bool = False, extra=None, coded=None) -> DataFrame:
     """Pass two: a row for each piece; ``with_ids`` adds the piece's ids as little-endian bytes.
 
-    ``extra`` = (name, function) adds a long column computed from the array of sequence ids.
+    ``extra`` = (name, function) adds a long column computed from the array of sequence ids; ``coded``: a function that is applied to
+    the bytes of each piece.
     """
     base, dtype, wide = tokens.base, tokens.dtype, np.dtype(tokens.dtype).itemsize
 
@@ -100,7 +101,7 @@ def cut(tokens: TokenTable, length: int = LENGTH, with_ids: bool = False, extra=
                     out.append(pa.array(extra[1](seq)))
                     names.append(extra[0])
                 if with_ids:
-                    out.append(pa.array([v.tobytes() for v in views], pa.binary()))
+                    out.append(pa.array([coded(v.tobytes()) if coded else v.tobytes() for v in views], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
