@@ -75,3 +75,15 @@ def test_refused(spark, arcs, monkeypatch):
     assert csr.compact(one_way, 10) is None and csr.compact(weighted, 10) is None
     monkeypatch.setattr(csr, "mounted", lambda spark: None)
     assert csr._compact(arcs, 10) is None
+
+
+def test_supernodes_are_summed_where_the_values_are(spark, arcs, monkeypatch):
+    members = graph.nodes(arcs).where("node < 110").select("node", F.floor(F.col("node") / 20).cast("long").alias("comm"))
+    want = {(r[0], r[1]): r[2] for r in ppr.super_truncated(arcs, members, engine="join").collect()}
+    again = {(r[0], r[1]): r[2] for r in ppr.to_supernodes(ppr.truncated(arcs, ppr.super_seeds(arcs, members)), members).collect()}
+    for engine in ("csr", "mapped"):
+        if engine == "mapped":
+            kept = csr.compact(arcs, 10)
+            monkeypatch.setattr(ppr, "compact", lambda a: kept)
+        got = {(r[0], r[1]): r[2] for r in ppr.super_truncated(arcs, members).collect()}
+        assert got.keys() == want.keys() == again.keys() and all(got[k] == pytest.approx(want[k]) == pytest.approx(again[k]) for k in want)
