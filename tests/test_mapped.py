@@ -87,3 +87,15 @@ def test_supernodes_are_summed_where_the_values_are(spark, arcs, monkeypatch):
             monkeypatch.setattr(ppr, "compact", lambda a: kept)
         got = {(r[0], r[1]): r[2] for r in ppr.super_truncated(arcs, members).collect()}
         assert got.keys() == want.keys() == again.keys() and all(got[k] == pytest.approx(want[k]) == pytest.approx(again[k]) for k in want)
+
+
+def test_shared_walks_wait_for_no_joins(spark, arcs, monkeypatch):
+    """Pushes by joins, walks in tasks: a stored index of the same walks, topped up, changes nothing."""
+    sources = settle(graph.nodes(arcs).where("node < 3"))
+    mapped = csr.compact(arcs, 10)
+    monkeypatch.setattr(walks, "compact", lambda a: mapped)
+    monkeypatch.setattr(walks, "arc_ranges", None)  # of walks by joins alone
+    stored = settle(walks.walks(arcs, graph.nodes(arcs).select("node", F.lit(2).alias("count"))))
+    got = [dense(approx.leaf_dppr(arcs, sources, "fora", k=4, engine="join", index=i), N)[:3, :3] for i in (None, stored)]
+    want = dense(ppr.dppr(arcs, sources, targets=sources), N)[:3, :3]
+    assert np.allclose(*got) and np.abs(got[0] - want).max() < 0.1
