@@ -3,10 +3,10 @@
 import numpy as np
 import pytest
 
-from lattigraph.operators import csr, graph, walks
+from lattigraph.operators import csr, graph, ppr, walks
 from lattigraph.plans.loop import settle
 
-from .graphs import edges_df, random_edges
+from .graphs import edges_df, exact_ppr, random_edges
 
 N = 60
 
@@ -28,6 +28,29 @@ def counted(monkeypatch):
     return calls
 
 
+def test_exact_values_take_few_passes(arcs, monkeypatch):
+    """Before: a pass for each of 100 and more power steps."""
+    g, calls = csr.compact(arcs, 10).value, counted(monkeypatch)
+    x = np.zeros(g.n)
+    x[3] = g.deg[3]
+    got = ppr.ALPHA * ppr.solved(g, x, 1e-9, ppr.steps_for(1e-9, g.deg[3]))
+    assert np.allclose(got, g.deg[3] * exact_ppr(random_edges(N), N)[3], atol=1e-9) and len(calls) < 40
+
+
+def test_exact_values_reach_all_nodes(spark):
+    """A chain that is longer than the steps of the solver: what power steps reach, is reached."""
+    a = settle(graph.symmetric(edges_df(spark, [(i, i + 1) for i in range(300)])))
+    g = csr.compact(a, 10).value
+    x = np.zeros(g.n)
+    x[0] = 1.0
+    want, now, steps = x.copy(), x, ppr.steps_for(1e-9)
+    for _ in range(steps):
+        now = 0.8 * g.forward(now)
+        want += now
+    got = ppr.solved(g, x, 1e-9, steps)
+    assert (got[want > 0] > 0).all() and np.abs(got - want).sum() <= 2e-8
+
+
 def test_few_nodes_are_pushed_by_their_arcs(arcs, monkeypatch):
     """Before: all rows were read."""
     g, calls = csr.compact(arcs, 10).value, counted(monkeypatch)
