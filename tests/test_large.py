@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lattigraph.operators import csr, graph, ppr, walks
+from lattigraph.operators import csr, graph, ppr, push, walks
 from lattigraph.plans.loop import settle
 
 from .graphs import edges_df, exact_ppr, random_edges
@@ -62,6 +62,17 @@ def test_few_nodes_are_pushed_by_their_arcs(arcs, monkeypatch):
     assert np.allclose(got, whole.forward(one)) and (reached == whole.reached(one > 0)).all()
 
 
+def test_accumulation_follows_the_ball(arcs, monkeypatch):
+    """Before: each of its rounds went over the whole graph."""
+    g = csr.compact(arcs, 10).value
+    moved, forward = [], csr.Mapped.forward
+    monkeypatch.setattr(csr.Mapped, "forward", lambda self, x: moved.append(1) or forward(self, x))
+    x = np.zeros(g.n)
+    x[5] = 2.0
+    reserve, residue = push.accumulated_residue(g, x)
+    assert len(moved) == 2 and reserve.sum() + residue.sum() == pytest.approx(2.0)
+
+
 def test_size_and_degrees_are_found_once(arcs, monkeypatch):
     """Before: both were counted again over all arcs."""
     want = sorted(graph.weighted_degree(arcs.select("*")).collect()), tuple(graph.stats(arcs.select("*")).first())
