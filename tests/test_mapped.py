@@ -69,6 +69,24 @@ def test_methods_are_those_of_a_graph_in_memory(arcs, small, monkeypatch):
     assert all(np.allclose(a, b) for a, b in zip(got, want)) and ends == again
 
 
+@pytest.mark.parametrize("apart", [1, 10**12])
+def test_rows_straight_from_edges(spark, small, monkeypatch, apart):
+    """Parallel edges, loops and nulls; before, arcs were made distinct in a table first."""
+    rows = EDGES + [(b, a) for a, b in EDGES[::3]] + EDGES[::2] + [(4, 4), (None, 3), (3, None), (999, 999)]
+    edges = spark.createDataFrame([(a and a * apart, b and b * apart) for a, b in rows], "src long, dst long").repartition(3)
+    want = settle(graph.symmetric(edges))
+    monkeypatch.setattr(csr, "FEW", 10)
+    got = csr.undirected(edges)
+    a, b = csr.compact(want, 10).value, csr.compact(got, 10).value
+    assert isinstance(b, csr.Mapped) and all(np.array_equal(x, y) for x, y in ((a.ids, b.ids), (a.starts, b.starts), (a.dst, b.dst), (a.deg, b.deg))) and a.m == b.m
+    whole = csr.compact(got, 10_000).value
+    assert not isinstance(whole, csr.Mapped) and np.array_equal(whole.dst, a.dst) and np.array_equal(whole.ids, a.ids)
+    assert sorted(graph.weighted_degree(got).collect()) == sorted(graph.weighted_degree(want).collect()) and graph.stats(got).first() == graph.stats(want).first()
+    assert sorted(got.collect()) == sorted(want.collect())
+    monkeypatch.setattr(csr, "mounted", lambda spark: None)
+    assert sorted(csr.undirected(edges).collect()) == sorted(want.collect())
+
+
 def test_refused(spark, arcs, monkeypatch):
     one_way = arcs.where("src < dst or src = 3")
     weighted = arcs.withColumn("w", F.least("src", "dst") + 1.0)
