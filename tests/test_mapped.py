@@ -50,6 +50,23 @@ def test_rows_and_steps(arcs, small):
     assert part.m == g.m and part.n in (g.n, 20)
 
 
+def test_components_in_memory_are_rows_too(arcs, small, monkeypatch):
+    """Exact values of a small component come from conjugate gradients as well, sizes from what is known; before, from three times
+    the power steps, and from a job for each method."""
+    g, whole = csr.compact(arcs, 10).value, csr.compact(arcs, csr.LIMIT).value
+    assert g.around([10**6]).n == 0  # a node without arcs
+    part = g.around([103])
+    assert isinstance(part, csr.Mapped) and part.n in (g.n, 20)
+    x, y = (np.where(h.ids == 103, 7.0, 0.0) for h in (part, whole))
+    got, total = 0.2 * ppr.solved(part, x, 1e-11, 300), y.copy()
+    for _ in range(150):
+        y = 0.8 * whole.forward(y)
+        total += y
+    assert np.allclose(got, 0.2 * total[whole.index(part.ids)], atol=1e-10)
+    monkeypatch.setitem(graph.known(arcs), "size", (80, 123))
+    assert (approx.accuracy(arcs).n, approx.accuracy(arcs).m) == (80, 123.0)
+
+
 def test_methods_are_those_of_a_graph_in_memory(arcs, small, monkeypatch):
     """Truncated sums, pushes, estimates and walks; before, a graph beyond the limit was joined."""
     sources = settle(graph.nodes(arcs).where("node < 3 or node = 105"))
