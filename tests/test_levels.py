@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattigraph.operators import cluster, graph, levels
+from lattigraph.operators import cluster, csr, graph, levels
 from lattigraph.plans.loop import settle
 
 from .graphs import edges_df, random_edges
@@ -83,3 +83,31 @@ def test_the_way_down_is_the_same(spark):
     membership, hierarchy = cluster.louvain_plus(a, k=10, engine="mapped")
     path = cluster.random_path(hierarchy, membership)
     assert path == cluster.random_path(*reversed(cluster.louvain_plus(a, k=10, engine="mapped"))) and path[-1][0] == 1
+
+
+@pytest.fixture
+def unread(spark, monkeypatch):
+    """Edges with parallel ones, and their arcs as a plan that fails if it is run."""
+    edges = edges_df(spark, random_edges(80, 60) + [(b, a) for a, b in random_edges(80, 60)])
+    monkeypatch.setattr(csr, "FEW", 10)
+    monkeypatch.setattr(csr, "symmetric", lambda e: e.select("src", "dst", F.raise_error(F.lit("arcs were read")).cast("double").alias("w")))
+    return settle(graph.symmetric(edges)), csr.undirected(edges)
+
+
+def test_hierarchy_and_louvain_straight_from_edges(unread, cut):
+    """Before, arcs were a table first."""
+    for table, rows in zip(*(cluster.louvain_plus(a, k=10, engine="mapped") for a in unread)):
+        assert sorted(table.collect()) == sorted(rows.collect()) and table.head(1)
+    table, rows = (cluster.louvain(a, engine="mapped")[-1] for a in unread)
+    assert sorted(table.collect()) == sorted(rows.collect())
+
+
+def test_a_way_down_straight_from_edges(unread, monkeypatch):
+    """The root is the component's own; before, all supernodes met in a join, and the arcs were a table."""
+    want, got = (cluster.louvain_plus(a, k=10, engine="mapped") for a in unread)
+    top = cluster.roots(want[0]).where("component = 0").orderBy(F.xxhash64("id", F.lit(2))).first()
+    monkeypatch.setattr(cluster, "roots", None)
+    path = cluster.random_path(*reversed(got))
+    assert path == cluster.random_path(*reversed(want)) and path[0] == (top.level, top.id) and [level for level, _ in path] == list(range(top.level, 0, -1))
+    kids = {r.id for r in got[0].where("level = 1").collect()}
+    assert path[-1][1] in kids
