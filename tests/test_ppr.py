@@ -235,3 +235,24 @@ def test_a_cluster_needs_a_shared_folder(spark):
     assert loop.scratch(session("local[2]")).startswith("file://")
     with pytest.raises(RuntimeError, match="checkpoint"):
         loop.scratch(session("spark://host:7077"))
+
+
+@pytest.mark.parametrize("wide,near", [(16, 100_000), (3, 12), (3, 25)])
+def test_joins_of_many_sources(spark, monkeypatch, wide, near):
+    """Sources side by side, over the arcs that they reach where these are few; before, each source joined all arcs in each step."""
+    edges = EDGES + [(100 + a, 100 + b) for a, b in random_edges(20, 26)]
+    a = settle(graph.symmetric(edges_df(spark, edges)).withColumn("w", 1.0 + F.col("dst") % 3))
+    sources = spark.createDataFrame([(100 + i,) for i in (0, 2, 3, 5, 7, 11, 13)], "node long")
+    seeds = ppr.unit_seeds(sources).unionByName(spark.createDataFrame([(100, 105, 0.5), (100, 105, 0.25), (-4, 3, 2.0)][: 2 if near == 25 else 3], "source long, node long, value double"))
+    whole = {(r.source, r.node): r.value for r in ppr.truncated(a, seeds, 6, engine="csr").collect()}
+    monkeypatch.setattr(ppr, "LIMIT", 10)
+    monkeypatch.setattr(ppr, "WIDE", wide)
+    monkeypatch.setattr(ppr, "NEAR", near)
+    for steps in (6, 0, 1):
+        want = whole if steps == 6 else {(r.source, r.node): r.value for r in ppr.truncated(a, seeds, steps, engine="csr").collect()}
+        got = {(r.source, r.node): r.value for r in ppr.truncated(a, seeds, steps, engine="join").collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    if near == 25:
+        left = ppr._leaving(a, seeds, 6)
+        assert left.count() == a.where("src >= 100").count() < a.count()
+    assert ppr.truncated(a, seeds.where("value > 9"), 2, engine="join").count() == 0
