@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -16,11 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.loop import mounted, settle
-from .csr import PIECE, Shared, ranges
+from .csr import Shared, ranges
 from .walks import _uniform
 
-#: Arcs of a block, and of a round that is not worth a job.
-BLOCK, FEW = 2_000_000, 200_000
+#: Arcs of a block, of a round that is not worth a job, and that are worked on at once (so many stay in a core's cache).
+BLOCK, FEW, PIECE = 4_000_000, 2_000_000, 1 << 16
+
+#: Sums are made in a vector over all keys if there are up to so many keys for each weighted, or unweighted, arc; else by sorting.
+DENSE, DENSE_COUNTS = 16, 4
+
+#: Weights of communities that may still join others to all, at which they are merged in order.
+MATRIX = 1 << 23
 
 
 class Level:
@@ -53,16 +60,27 @@ class Level:
         keep = None if loops else ends != np.repeat(nodes, c)
         if keep is not None and not keep.all():
             key, take = key[keep], take[keep]
-        if self.w.ndim:
+        rows = int(group[-1]) + 1 if len(group) else 0
+        return self.added(key, take, rows, len(comm))
+
+    def added(self, key: np.ndarray, take: np.ndarray, rows: int, wide: int):
+        """(row, to, w) in order: the sums of the weights, all positive, of the arcs ``take`` by ``key``, which is row * wide + to."""
+        cells = rows * wide
+        if cells <= (DENSE if self.w.ndim else DENSE_COUNTS) * len(key):
+            total = np.bincount(key, self.w[take], cells) if self.w.ndim else np.bincount(key, minlength=cells)
+            key = np.flatnonzero(total)
+            w = total[key] if self.w.ndim else total[key] * float(self.w)
+        elif self.w.ndim:
             order = np.argsort(key, kind="stable")
             key, w = key[order], self.w[take][order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            key, w = key[first], np.add.reduceat(w, first) if len(first) else np.zeros(0)
         else:
             key.sort()
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        w = np.add.reduceat(w, first) if self.w.ndim and len(first) else np.diff(np.r_[first, len(key)]) * (1.0 if self.w.ndim else float(self.w))
-        key = key[first]
-        row = key // len(comm)
-        return row, key - row * len(comm), w
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            key, w = key[first], np.diff(np.r_[first, len(key)]) * float(self.w)
+        row = key // wide
+        return row, key - row * wide, w
 
 
 def _best(row: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -201,67 +219,156 @@ def _loops(spark: SparkSession, level: Level) -> float:
 
 
 def merged(spark: SparkSession, level: Level, active: np.ndarray, k: int, seed: int, hard_cap: bool) -> np.ndarray:
-    """Size-bounded communities, named by a node, of the nodes of ``active`` (whole components); the rounds of
-    ``cluster.size_bounded_level``."""
+    """Size-bounded communities, named by a node, of the nodes of ``active`` (whole components); the proposals and limits of
+    ``cluster.size_bounded_level``. In a round a community that none would join moves, one that such a community would join stays, and
+    a coin decides for the others. Those that fit with none propose to any of the smallest neighbours, and a community takes one of them,
+    or up to a third of k nodes, so that they spread. What is left of at most ``MATRIX`` weights is merged in order."""
     comm = np.arange(level.n, dtype=np.int32)
-    size, deg = np.ones(level.n, np.int64), np.array(level.deg, float)
+    size, deg = np.zeros(level.n, np.int64), np.array(level.deg, float)
+    size[active] = 1
     m2, last = deg[active].sum(), 0
-    big = 4 * m2 + 1
+    kind = np.uint8 if k < 255 else np.int64
 
     def propose(level, given, a, b):
-        comm, size, deg, nodes, first = (given[x] for x in ("comm", "size", "deg", "nodes", "first"))
-        found = []
+        """Communities are numbered in the order of their names here, without those that are gone."""
+        comm, full, size, deg, nodes, first = (given[x] for x in ("comm", "full", "size", "deg", "nodes", "first"))
+        found, none, turn = [], np.iinfo(np.int64).max, given["turn"]
         cuts = a + _cuts(given["arcs"][a:b], PIECE)
         for x, y in zip(cuts[:-1], cuts[1:]):
+            at = first[x : y + 1] - first[x]
             part = np.asarray(nodes[first[x] : first[y]])
-            own = np.asarray(comm[part[first[x:y] - first[x]]])
-            row, to, w = level.sums(part, np.repeat(np.arange(y - x), np.diff(first[x : y + 1])), comm)
+            own, c = comm[part[at[:-1]]], level.count[part]
+            pull = deg[own] / m2
+            take = ranges(level.starts[part], c)
+            ends, arcs = level.dst[take], np.add.reduceat(c, at[:-1])
+            group = np.repeat(np.arange(y - x), arcs)
+            # arcs to communities that are too large to join are left out before anything is summed up
+            hit = np.flatnonzero(full[ends] <= np.repeat((k - size[own]).astype(kind), arcs))
+            to, row = comm[ends[hit]], group[hit]
             other = to != own[row]
-            if hard_cap:
-                other &= size[own[row]] + size[to] <= k
-            row, to, w = row[other], to[other], w[other]
+            row, to, w = level.added(row[other] * len(size) + to[other], take[hit[other]], y - x, len(size))
+            alone = np.ones(y - x, bool)
+            alone[row] = False
             if len(row):
-                s = own[row]
-                fits = size[s] + size[to] <= k
-                at = _best(row, np.where(fits, w - deg[to] * deg[s] / m2, -size[to] - big))
-                found.append((s[at], to[at], fits[at]))
-        return [np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in enumerate((np.int32, np.int64, bool))]
+                best = _best(row, w - deg[to] * pull[row])
+                found.append((own[row[best]], to[best], np.ones(len(best), bool)))
+            if not hard_cap and alone.any():  # the smallest neighbour instead; of equal ones any
+                mine = alone[group]
+                to, row = comm[ends[mine]], group[mine]
+                drawn = (to.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (own[row].astype(np.uint32) * np.uint32(0x85EBCA77) + turn)
+                drawn = (drawn ^ (drawn >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+                key = np.where(to != own[row], (size[to] << 32) | (drawn ^ (drawn >> np.uint32(12))), none)
+                best = _best(row, -key)
+                best = best[key[best] < none]
+                found.append((own[row[best]], to[best], np.zeros(len(best), bool)))
+        out = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, bool))]
+        order = np.argsort(out[0], kind="stable")
+        return [x[order] for x in out]
+
+    def weights(level, given, a, b):
+        """(group, to, w) of all arcs."""
+        comm, nodes, first, wide = (given[x] for x in ("comm", "nodes", "first", "wide"))
+        found = []
+        cuts = a + _cuts(given["arcs"][a:b], PIECE)
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            part = np.asarray(nodes[first[x] : first[y]])
+            c = level.count[part]
+            take = ranges(level.starts[part], c)
+            group = np.repeat(np.arange(y - x), np.add.reduceat(c, first[x:y] - first[x]))
+            row, to, w = level.added(group * wide + comm[level.dst[take]], take, y - x, wide)
+            found.append((row + x, to, w))
+        return [np.concatenate([f[j] for f in found]) for j in range(3)]
 
     place, none = np.arange(level.n), np.zeros(level.n, np.int64)
     while True:
-        open_ = active[size[comm[active]] < k]
-        nodes = open_[np.argsort(comm[open_], kind="stable")]
-        owner = comm[nodes]
-        first = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(nodes) else np.zeros(0, np.int64), len(nodes)]
-        arcs = np.add.reduceat(level.count[nodes], first[:-1]) if len(nodes) else np.zeros(0, np.int64)
-        if not len(nodes):
+        active = active[size[comm[active]] < k]  # what has k nodes once keeps them
+        if not len(active):
             return comm
-        parts = _over(spark, level, arcs, {"comm": comm, "size": size, "deg": deg, "nodes": nodes, "first": first, "arcs": arcs}, propose)
+        owner = (comm[active].astype(np.int64) << 32) | active
+        owner.sort()
+        nodes = owner & 0xFFFFFFFF
+        owner >>= 32
+        first = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(nodes)]
+        arcs = np.add.reduceat(level.count[nodes], first[:-1])
+        live = np.flatnonzero(size)
+        number = np.cumsum(size > 0, dtype=np.int32) - np.int32(1)
+        here = number[comm]
+        if (len(first) - 1) * len(live) <= MATRIX:
+            parts = _over(spark, level, arcs, {"comm": here, "nodes": nodes, "first": first, "arcs": arcs, "wide": np.int64(len(live))}, weights)
+            table = np.zeros((len(first) - 1, len(live)))
+            for row, to, w in parts:
+                table[row, to] = w
+            place[live] = live[_in_order(table, number[owner[first[:-1]]], size[live], deg[live], m2, k, seed, hard_cap)]
+            return place[comm].astype(np.int32)
+        full = np.minimum(size[live], k).astype(kind)[here]
+        parts = _over(spark, level, arcs, {"comm": here, "full": full, "turn": np.uint32(last), "size": size[live], "deg": deg[live], "nodes": nodes, "first": first, "arcs": arcs}, propose)
         src, dst, fits = (_joined(parts, j) for j in range(3))
         if not len(src):
             return comm
+        src, dst = live[src], live[dst]
+        leaf, stays, goes = np.ones(level.n, bool), np.zeros(level.n, bool), np.zeros(level.n, bool)
+        leaf[dst] = False
+        leaf = leaf[src]
+        stays[dst[leaf]] = True
         pairs = False
         while not pairs:  # nothing changes in a round of coins that joins none
-            heads = _uniform(place, none, 2 * last, seed) < 0.5
-            moving = heads[src] & ((size[dst] >= k) | ~heads[dst])
+            heads = _uniform(src, none[: len(src)], 2 * last, seed) < 0.5
+            heads[leaf] = True
+            heads[stays[src]] = False
+            goes[:] = False
+            goes[src[heads]] = True
+            moving = heads & ~goes[dst]
             s, d, f = src[moving], dst[moving], fits[moving]
-            order = np.lexsort((s, _uniform(s, none[: len(s)], 2 * last + 1, seed), d))
+            order = np.lexsort((s, _uniform(s, none[: len(s)], 2 * last + 1, seed), ~f, d))
             s, d, f = s[order], d[order], f[order]
-            taken = np.cumsum(np.where(f, size[s], 0))
+            taken = np.cumsum(size[s])
             head = np.r_[True, d[1:] != d[:-1]] if len(d) else np.zeros(0, bool)
             begin = np.maximum.accumulate(np.where(head, np.arange(len(d)), 0)) if len(d) else np.zeros(0, np.int64)
-            so_far = taken - (taken - np.where(f, size[s], 0))[begin]
-            go = ~f | (size[d] + so_far <= k)
+            so_far = taken - (taken - size[s])[begin]
+            go = np.where(f, size[d] + so_far <= k, head | (so_far <= k // 3))
             s, d, last = s[go], d[go], last + 1
             pairs = len(s) > 0
-        name = np.arange(level.n, dtype=np.int32)
+        name = place.astype(np.int32)
         name[s] = d
         comm = name[comm]
-        size += np.bincount(d, size[s], level.n).astype(np.int64)
-        deg += np.bincount(d, deg[s], level.n)
+        np.add.at(size, d, size[s])
+        np.add.at(deg, d, deg[s])
         size[s], deg[s] = 0, 0.0
 
 
+def _in_order(table: np.ndarray, own: np.ndarray, size: np.ndarray, deg: np.ndarray, m2: float, k: int, seed: int, hard_cap: bool) -> np.ndarray:
+    """``cluster._merge_in_order`` over the weights from the communities ``own``, one row each, to all; the community that each is in."""
+    owner, row = np.arange(len(size)), np.full(len(size), -1)
+    row[own] = np.arange(len(own))
+    queue = deque(own[np.random.default_rng(seed).permutation(len(own))].tolist())
+    while queue:
+        v = queue.popleft()
+        if owner[v] != v or size[v] >= k:
+            continue
+        w = table[row[v]]
+        near = w > 0
+        near[v] = False
+        fit = np.flatnonzero(near & (size + size[v] <= k))
+        if len(fit):
+            t = int(fit[np.argmax(w[fit] - deg[fit] * deg[v] / m2)])
+        elif not hard_cap and near.any():
+            fit = np.flatnonzero(near)
+            t = int(fit[np.argmin(size[fit])])
+        else:
+            continue
+        a, b = (t, v) if row[t] < 0 or np.count_nonzero(table[row[t]]) >= np.count_nonzero(w) else (v, t)
+        if row[a] >= 0:
+            table[row[a]] += table[row[b]]
+        table[:, a] += table[:, b]
+        table[:, b] = 0
+        owner[b], size[a], deg[a] = a, size[a] + size[b], deg[a] + deg[b]
+        if size[a] < k:
+            queue.append(a)
+    while (owner[owner] != owner).any():
+        owner = owner[owner]
+    return owner
+
+
 def coarse(spark: SparkSession, level: Level, comm: np.ndarray, groups: int) -> Level:
     """Rows between communities 0 .. ``groups``, weights summed up; nodes of community -1 are left out (whole components)."""
     at = np.flatnonzero(comm >= 0)

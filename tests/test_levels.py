@@ -111,3 +111,42 @@ def test_a_way_down_straight_from_edges(unread, monkeypatch):
     assert path == cluster.random_path(*reversed(want)) and path[0] == (top.level, top.id) and [level for level, _ in path] == list(range(top.level, 0, -1))
     kids = {r.id for r in got[0].where("level = 1").collect()}
     assert path[-1][1] in kids
+
+
+def by_hand(folder, s, d, w=None):
+    """A level of arcs both ways, without Spark."""
+    s, d, w = np.r_[s, d], np.r_[d, s], None if w is None else np.r_[w, w]
+    order = np.lexsort((d, s))
+    n = int(s.max()) + 1
+    held = {"starts": np.searchsorted(s[order], np.arange(n + 1)), "dst": d[order].astype(np.int32), "w": np.array(1.0) if w is None else w[order]}
+    if w is not None:
+        held["deg"] = np.bincount(s, w, n)
+    for name, x in held.items():
+        np.save(folder / f"{name}.npy", x)
+    return levels.Level(str(folder))
+
+
+@pytest.mark.parametrize("most,matrix", [(30, 0), (4, 1 << 23)])
+def test_communities_are_even_after_few_rounds(tmp_path, monkeypatch, most, matrix):
+    """Before, a quarter of the proposals counted in a round, and all that fitted with none joined the same neighbour."""
+    draw = np.random.default_rng(3)
+    pairs = np.unique([(i, 2000 + j) for i in range(2000) for j in draw.choice(60, 10, replace=False)], axis=0)
+    level, rounds, over = by_hand(tmp_path, pairs[:, 0], pairs[:, 1]), [], levels._over
+    monkeypatch.setattr(levels, "FEW", 1 << 40)
+    monkeypatch.setattr(levels, "MATRIX", matrix, raising=False)
+    monkeypatch.setattr(levels, "_over", lambda *a: rounds.append(0) or over(*a))
+    comm = levels.merged(None, level, np.arange(level.n), 25, 1, False)
+    sizes = np.unique(comm, return_counts=True)[1]
+    assert len(comm) == 2060 and 25 <= sizes.min() and sizes.max() <= 75 and len(rounds) <= most
+
+
+def test_what_is_left_is_merged_in_order(tmp_path):
+    """As in one task, from a table of weights."""
+    draw = np.random.default_rng(5)
+    pairs = np.unique(np.sort(draw.choice(90, (500, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+    level = by_hand(tmp_path, pairs[:, 0], pairs[:, 1], draw.random(len(pairs)) + 0.1)
+    comm = levels.merged(None, level, np.arange(level.n), 10, 4, True)
+    want = cluster._merge_in_order(np.repeat(np.arange(level.n), level.count), np.asarray(level.dst), np.asarray(level.w), 10, 4, True)[1]
+    same = lambda c: c[:, None] == c[None, :]
+    assert (same(comm) == same(want)).all()
