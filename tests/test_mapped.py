@@ -134,3 +134,23 @@ def test_shared_walks_wait_for_no_joins(spark, arcs, monkeypatch):
     got = [dense(approx.leaf_dppr(arcs, sources, "fora", k=4, engine="join", index=i), N)[:3, :3] for i in (None, stored)]
     want = dense(ppr.dppr(arcs, sources, targets=sources), N)[:3, :3]
     assert np.allclose(*got) and np.abs(got[0] - want).max() < 0.1
+
+
+def test_counts_meet_once_whatever_the_ids():
+    """Before, each batch of a task gave a row for each of its nodes."""
+    draw = np.random.default_rng(2)
+    for ids in (np.arange(-50, 50), draw.integers(-(2**62), 2**62, 100)):
+        parts = [(draw.choice(ids, 30), np.ones(30, np.int64)) for _ in range(9)]
+        node, count = csr._summed(iter(parts))
+        want = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
+        assert (node == want[0]).all() and (count == want[1]).all() and count.dtype == np.int64
+    assert [len(x) for x in csr._summed(iter([]))] == [0, 0]
+
+
+def test_rows_of_ids_far_apart(spark):
+    edges = [(-5, 2**61), (7, 2**61), (7, -5), (2**61, 7), (1 << 20, 1023), (1024, 1023)]
+    found = {}
+    g = csr.write_edges(spark.createDataFrame(edges, "src long, dst long").repartition(3), found).value
+    assert g.ids.tolist() == sorted({x for e in edges for x in e}) and found["size"] == (6, 5)
+    rows = {int(g.ids[i]): {int(g.ids[x]) for x in g.dst[g.starts[i] : g.starts[i + 1]]} for i in range(g.n)}
+    assert rows == {v: {b if a == v else a for a, b in edges if v in (a, b)} for v in g.ids.tolist()}
