@@ -62,6 +62,8 @@ def small(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 40)
     monkeypatch.setattr(blocks, "NEAR", 15)
     monkeypatch.setattr(blocks, "HELD", 120)
+    monkeypatch.setattr(blocks, "TILE", 3)
+    monkeypatch.setattr(blocks, "PIECE", 20)
 
 
 @pytest.mark.parametrize("kind", ["equal", "weighted", "directed", "far apart"])
@@ -106,13 +108,9 @@ def test_a_folder_that_is_not_mounted_has_joins(spark, small, monkeypatch):
     close(values(ppr.truncated(a, seeds_df(spark), 4, engine="join")), stepped(rows, SEEDS, 4))
 
 
-def test_pieces_hold_all_nodes():
-    starts = np.array([0, 0, 0, 9, 30, 31, 31, 31, 40, 40])
-    was = blocks.NEAR
-    try:
-        for blocks.NEAR in (1, 2, 10, 25, 100):
-            cuts = list(blocks.pieces(starts, 0, 9))
-            assert cuts[0][0] == 0 and cuts[-1][1] == 9 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
-            assert all(hi == lo + 1 or starts[hi] - starts[lo] <= blocks.NEAR for lo, hi in cuts)
-    finally:
-        blocks.NEAR = was
+def test_pieces_hold_all_rows():
+    cut, tile = np.array([0, 9, 30, 31, 40, 41, 50]), np.array([0, 2, 3, 6])
+    for near in (1, 2, 10, 25, 100):
+        parts = list(blocks.pieces(cut, tile, near))
+        assert parts[0][0] == 0 and parts[-1][1] == 6 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+        assert all(j == i + 1 or cut[j] - cut[i] <= near for i, j in parts) and {2, 3} <= {j for _, j in parts}
